@@ -1,10 +1,11 @@
-"""Queries p8 (ids of every text) and p9 (a mix of the sources by target weights)."""
+"""Queries p8 (ids of every text), p9 (a mix of the sources by target weights) and p10 (long common spans)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.mixing import mix
+from strandline.llm.spans import document_pairs, passages, shared_runs, shares
 from strandline.llm.tokenize import encode_texts, text_sizes
 from strandline.sources import table
 
@@ -30,6 +31,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_sizes, p9_mix, p9_report)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_pairs(*shared_runs(table(spark, d, "documents")))
+
+
+def p10_passages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return passages(*shared_runs(docs), docs)
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return shares(passages(*shared_runs(docs), docs), docs)
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_sizes, p9_mix, p9_report, p10_found, p10_passages, p10_shares)}
 #: Neither a tokenizer nor the choice by hash can be said in SQL; see tests/llm.
 SQL: dict[str, str] = {}
