@@ -17,9 +17,9 @@ def checksum_key(c: Column) -> Column:
     Well-formed hexadecimal is packed to half its length behind a zero byte, everything else (broken
     checksums) stays as text behind a one byte, so the two kinds cannot meet. Null gives null.
     """
-    text = checksum_text(c)
-    packed = F.when((F.length(text) % 2 == 0) & (F.length(text) > 0), F.unhex(text))
-    return F.when(packed.isNotNull(), F.concat(F.lit(b"\x00"), packed)).otherwise(F.concat(F.lit(b"\x01"), F.encode(text, "utf-8")))
+    bare = F.trim(c)
+    packed = F.concat(F.lit(b"\x00"), F.unhex(F.when(F.length(bare) % 2 == 0, bare)))
+    return F.coalesce(packed, F.concat(F.lit(b"\x01"), F.encode(checksum_text(c), "utf-8")))
 
 
 def checksum_of_key(c: Column) -> Column:
