@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.transducer import Transducer, compile_words
-from strandline.session import shared_folder
+from strandline.session import cut, shared_folder
 
 #: Folder of the public vocabularies; each function takes another as a parameter.
 VOCABULARIES = os.environ.get("STRANDLINE_VOCABULARIES", "/opt/tokenizers")
@@ -59,9 +59,10 @@ def splitter():
 
 
 def frequent_words(texts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words of the string column ``text`` over all rows; ties by the word's bytes.
+    """The most frequent words of the string column ``text`` over all rows: all that reach the least count, in steps
+    of an eighth of a power of two, which no more than ``limit`` words reach.
 
-    Counts are over the whole collection, formed per worker and merged; only ``limit`` words reach the driver."""
+    Counts are over the whole collection, formed per worker and merged; at most ``limit`` words reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counts = splitter(), Counter()
@@ -78,8 +79,16 @@ def frequent_words(texts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
                 counts = Counter()
         yield held()
 
-    found = texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
+    found = cut(texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # The least count that at most ``limit`` words reach, by eighths of powers of two.
+    level = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for r in found.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():
+        held += r["words"]
+        if held > limit:
+            break
+        least = r["level"]
+    return [] if least is None else [bytes(r["word"]) for r in found.where(level >= least).select("word").collect()]
 
 
 def publish_lexicon(texts: DataFrame, vocabularies: str = VOCABULARIES, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS) -> tuple[str, str]:
@@ -100,6 +109,18 @@ def publish_lexicon(texts: DataFrame, vocabularies: str = VOCABULARIES, vocabula
     return name, vocabulary
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are met; ``new`` has those not yet learned."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class TextEncoder:
     """Encodes batches of texts in a worker; words already met are kept up to a bound."""
 
@@ -110,7 +131,7 @@ class TextEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._memo: dict[str, int] = {}
+        self._memo = _Numbers()
         self._lengths, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, words: list[str]) -> None:
@@ -118,7 +139,6 @@ class TextEncoder:
         found = self._lexicon.index(raw)
         ends, ids = self._lexicon.ends, self._lexicon.ids
         own = [ids[ends[k] : ends[k + 1]] if k >= 0 else np.asarray(self._words.ids(w), np.int32) for k, w in zip(found.tolist(), raw)]
-        self._memo.update(zip(words, range(len(self._memo), len(self._memo) + len(words))))
         self._lengths = np.concatenate([self._lengths, np.fromiter(map(len, own), np.int64, len(own))])
         self._flat = np.concatenate([self._flat, *own])
 
@@ -127,10 +147,11 @@ class TextEncoder:
         if len(self._memo) > _MEMO:
             self._clear()
         split = [self._split(t) if t else [] for t in texts]
-        words = [w for x in split for w in x]
-        if new := [w for w in dict.fromkeys(words) if w not in self._memo]:
-            self._learn(new)
-        at = np.fromiter(map(self._memo.__getitem__, words), np.int64, len(words))
+        memo, n = self._memo, sum(map(len, split))
+        at = np.fromiter((memo[w] for x in split for w in x), np.int64, n)
+        if memo.new:
+            self._learn(memo.new)
+            memo.new = []
         size = self._lengths[at]
         upto = np.concatenate([[0], np.cumsum(size)])
         borders = np.cumsum([0, *map(len, split)])
