@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.canonical import map_names
+from strandline.llm.mojibake import garbled_rows
 from strandline.sources import table
 
+_TEXTS = (("extracted_string", "stringidentifier"), ("extracted_function", "functionname"))
 _NAMES = (("processed", "package"), ("renames", "originalname"), ("renames", "newname"))
 
 
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    parts = [table(spark, d, t).select(F.lit(t).alias("table_name"), "row_id", F.col(c).alias("value")) for t, c in _TEXTS]
+    return garbled_rows(reduce(DataFrame.unionByName, parts), "value")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_restored(spark, d).select("table_name", "row_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [table(spark, d, t).select(F.lit(f"{t}.{c}").alias("field"), "row_id", F.col(c).alias("name")).where("name is not null") for t, c in _NAMES]
     reference = table(spark, d, "canonical_package").select(F.col("package_id").alias("entry_id"), F.col("package").alias("entry"))
@@ -28,5 +39,5 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).join(found, ["field", "row_id"], "left_semi").groupBy("field", "name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_unmatched)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p7_found, p7_unmatched)}
 SQL: dict[str, str] = {}
