@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.keys import checksum_key
 from strandline.llm.canonical import map_names
+from strandline.llm.handwritten import not_handwritten
 from strandline.llm.mojibake import garbled_rows
 from strandline.sources import table
 
@@ -24,6 +26,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_restored(spark, d).select("table_name", "row_id")
 
 
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "processed_file").withColumn("key", checksum_key(F.col("checksum")))
+    heads = table(spark, d, "source_head").select(checksum_key(F.col("checksum")).alias("key"), "head")
+    return not_handwritten(files, heads)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_kinds(spark, d).select("row_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [table(spark, d, t).select(F.lit(f"{t}.{c}").alias("field"), "row_id", F.col(c).alias("name")).where("name is not null") for t, c in _NAMES]
     reference = table(spark, d, "canonical_package").select(F.col("package_id").alias("entry_id"), F.col("package").alias("entry"))
@@ -39,5 +51,5 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).join(found, ["field", "row_id"], "left_semi").groupBy("field", "name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p7_found, p7_unmatched)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_kinds, p7_found, p7_unmatched)}
 SQL: dict[str, str] = {}
