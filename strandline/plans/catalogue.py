@@ -1,8 +1,8 @@
 """All queries of the core and their SQL."""
 
-from strandline.plans import integrity
+from strandline.plans import integrity, matching
 
-_PARTS = (integrity,)
-FLAGSHIP = "p1_report"
+_PARTS = (integrity, matching)
+FLAGSHIP = "string_match_rank"
 QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _PARTS for k, v in m.SQL.items()}
