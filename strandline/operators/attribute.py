@@ -29,16 +29,18 @@ def version_histogram(versions: DataFrame) -> DataFrame:
 def prune_versions(versions: DataFrame) -> DataFrame:
     """(container, package, version) without those whose set of lines is a proper part of another version's.
 
-    Sets are never built: two versions are compared by the number of lines they share, found by a join on the line."""
-    sizes = versions.groupBy("container", "package", "version").agg(F.count(F.lit(1)).alias("n"))
-    a = versions.withColumnRenamed("version", "version_a")
-    b = versions.withColumnRenamed("version", "version_b")
-    shared = a.join(b, ["container", "package", "line"]).where("version_a != version_b").groupBy("container", "package", "version_a", "version_b").agg(F.count(F.lit(1)).alias("shared"))
-    sa = sizes.withColumnsRenamed({"version": "version_a", "n": "n_a"})
-    sb = sizes.withColumnsRenamed({"version": "version_b", "n": "n_b"})
+    Sets are never built. A version can only be part of one that has its rarest line too, so only these pairs are
+    compared, by the number of lines they share; a version with a line of its own is compared with none."""
     keys = ["container", "package"]
-    part = shared.join(sa, [*keys, "version_a"]).join(sb, [*keys, "version_b"]).where("shared = n_a and n_a < n_b")
-    return sizes.join(part.select(*keys, F.col("version_a").alias("version")).distinct(), [*keys, "version"], "left_anti").select(*keys, "version")
+    sizes = versions.groupBy(*keys, "version").agg(F.count(F.lit(1)).alias("n"))
+    spread = versions.groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("m"))
+    rarest = versions.join(spread, [*keys, "line"]).groupBy(*keys, "version").agg(F.min(F.struct("m", "line")).alias("r")).where("r.m > 1")
+    other = versions.withColumnRenamed("version", "other")
+    pairs = rarest.select(*keys, "version", F.col("r.line").alias("line")).join(other, [*keys, "line"]).where("version != other").select(*keys, "version", "other")
+    more = sizes.withColumnsRenamed({"version": "other", "n": "n_other"})
+    pairs = pairs.join(sizes, [*keys, "version"]).join(more, [*keys, "other"]).where("n < n_other")
+    shared = pairs.join(versions, [*keys, "version"]).join(other, [*keys, "other", "line"]).groupBy(*keys, "version", "other", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return sizes.join(shared.where("shared = n").select(*keys, "version").distinct(), [*keys, "version"], "left_anti").select(*keys, "version")
 
 
 def row_versions(facts: DataFrame, files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,21 +71,25 @@ def greedy_cover(classified: DataFrame, cache: DataFrame, scores: DataFrame, ave
     rows = rows.select("container", "language", "line", "filename", "package", "n", "score", F.coalesce("unique_score", F.lit(0.0)).alias("u"), F.coalesce("avgstrings", F.lit(0.0)).alias("avg"))
 
     def cover(frame: pd.DataFrame) -> pd.DataFrame:
-        best = frame.groupby(["language", "line", "filename"])["u"].transform("max")
-        own = frame[frame["u"] == best]
-        any_unique, averages_of = bool((frame["u"] > 0).any()), own.groupby("package")["avg"].max()
-        out = {}
-        while len(own):
-            gains = own.groupby("package")["score"].sum()
-            top = gains.max()
-            if top < gain:
+        entry = frame.groupby(["language", "line", "filename"], sort=False).ngroup().to_numpy()
+        names, package = np.unique(frame["package"].to_numpy(object), return_inverse=True)
+        score, n, u = (frame[c].to_numpy(float) for c in ("score", "n", "u"))
+        average = np.zeros(len(names))
+        np.maximum.at(average, package, frame["avg"].to_numpy(float))
+        best = np.zeros(entry.max() + 1)
+        np.maximum.at(best, entry, u)
+        own, any_unique, out = u == best[entry], bool((u > 0).any()), {}
+        while own.any():
+            gains = np.bincount(package[own], score[own], len(names))
+            if gains.max() < gain:
                 break
-            close = sorted(gains.index[gains > 0.9 * top], key=lambda p: (-averages_of[p] if any_unique else averages_of[p], p))
-            winner = close[0]
-            taken = own[own["package"] == winner]
-            out[winner] = out.get(winner, 0.0) + float((taken["score"] * taken["n"]).sum())
-            gone = pd.MultiIndex.from_frame(taken[["language", "line", "filename"]])
-            own = own[~pd.MultiIndex.from_frame(own[["language", "line", "filename"]]).isin(gone)]
+            close = np.flatnonzero(gains > 0.9 * gains.max())
+            winner = min(close, key=lambda p: (-average[p] if any_unique else average[p], p))
+            taken = own & (package == winner)
+            out[names[winner]] = out.get(names[winner], 0.0) + float((score[taken] * n[taken]).sum())
+            gone = np.zeros(len(best), bool)
+            gone[entry[taken]] = True
+            own &= ~gone[entry]
         container = frame["container"].iloc[0]
         return pd.DataFrame({"container": [container] * len(out), "package": list(out), "same_file_score": list(out.values())}).astype({"container": object, "package": object})
 

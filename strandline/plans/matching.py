@@ -10,6 +10,7 @@ from strandline.operators import knowledge as K
 from strandline.operators import match as M
 from strandline.plans import base as B
 from strandline.plans.base import with_base
+from strandline.session import cut
 from strandline.sources import table
 
 
@@ -21,6 +22,12 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     return M.classify(M.lines_of(B.identifiers(spark, d)), _cache(spark, d))
 
 
+def _materials(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Cache and classified lines, written once for queries that read them more than once."""
+    cache = cut(_cache(spark, d))
+    return cache, cut(M.classify(M.lines_of(B.identifiers(spark, d)), cache))
+
+
 def kb_identifier_cache(spark: SparkSession, d: str) -> DataFrame:
     return _cache(spark, d)
 
@@ -63,13 +70,14 @@ def _of_class(kind: str):
 
 
 def string_match_rank(spark: SparkSession, d: str) -> DataFrame:
-    scores = M.package_scores(_classified(spark, d), _cache(spark, d)).where("unique_score > 0")
+    cache, classified = _materials(spark, d)
+    scores = M.package_scores(classified, cache).where("unique_score > 0")
     out = M.rank(scores.select("container", "package", F.round(F.col("unique_score") + F.col("nonunique_score"), 6).alias("score")))
     return out.withColumn("share", F.round("share", 6))
 
 
 def greedy_cover_rank(spark: SparkSession, d: str) -> DataFrame:
-    cache, classified = _cache(spark, d), _classified(spark, d)
+    cache, classified = _materials(spark, d)
     scores = M.package_scores(classified, cache)
     cover = M.greedy_cover(classified, cache, scores, K.average_strings(B.strings(spark, d), B.files(spark, d)))
     both = scores.join(cover, ["container", "package"], "full").fillna(0.0).where("unique_score > 0 or same_file_score > 0")
@@ -78,7 +86,7 @@ def greedy_cover_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def source_order_matches(spark: SparkSession, d: str) -> DataFrame:
     ids = B.identifiers(spark, d).where("line is not null and language is not null")
-    return M.source_order(ids, _cache(spark, d))
+    return M.source_order(ids, cut(_cache(spark, d)))
 
 
 def fallback_match(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +138,7 @@ def version_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_prune(spark: SparkSession, d: str) -> DataFrame:
-    return A.prune_versions(_versions(spark, d))
+    return A.prune_versions(cut(_versions(spark, d)))
 
 
 def function_version_counts(spark: SparkSession, d: str) -> DataFrame:
