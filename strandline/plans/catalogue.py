@@ -1,8 +1,8 @@
 """All queries of the core and their SQL."""
 
-from strandline.plans import catalogues, integrity, matching
+from strandline.plans import catalogues, integrity, matching, streams
 
-_PARTS = (integrity, matching, catalogues)
+_PARTS = (integrity, matching, catalogues, streams)
 FLAGSHIP = "string_match_rank"
 QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _PARTS for k, v in m.SQL.items()}
