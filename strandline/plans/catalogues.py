@@ -9,6 +9,7 @@ from strandline.functions import text as X
 from strandline.functions.keys import checksum_text
 from strandline.operators import attribute as A
 from strandline.operators import audit as U
+from strandline.operators import carve as V
 from strandline.operators import clones as C
 from strandline.operators import files as FL
 from strandline.operators import graph as G
@@ -228,6 +229,31 @@ def dependency_closure(spark: SparkSession, d: str) -> DataFrame:
     return G.closure(table(spark, d, "renames").select(F.col("originalname").alias("src"), F.col("newname").alias("dst")))
 
 
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "source_head").where("head is not null")
+    return h.select(F.col("checksum").alias("key"), F.concat("checksum", F.lit(".txt")).alias("path"), F.col("head").cast("binary").alias("content"))
+
+
+def file_tags(spark: SparkSession, d: str) -> DataFrame:
+    return V.tagged(_contents(spark, d)).select("key", F.array_contains("tags", "text").alias("is_text"))
+
+
+def file_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Printable runs in the heads, as a strings tool would find them."""
+    return V.strings_of(_contents(spark, d)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+def marker_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return V.marker_offsets(_contents(spark, d)).groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fuzzy_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """For each file of a package the nearest other one of the same name, by the lines of the heads."""
+    h = table(spark, d, "source_head").where("head is not null").select(checksum_text(F.col("checksum")).alias("key"), F.split("head", "\n").alias("lines"))
+    own = _files(spark, d).select(F.col("ck").alias("key"), F.concat_ws("/", "package", "filename").alias("name")).where("filename is not null and package is not null").distinct().join(h, "key")
+    return V.nearest_by_name(own, own)
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "renames").select(F.col("originalname").alias("src"), F.col("newname").alias("dst")).dropna()
     return r.withColumn("kind", F.when(F.lower("src") == F.lower("dst"), "spelling").otherwise("rename")).distinct()
@@ -365,6 +391,8 @@ SQL = {
     "library_resolution": """WITH so AS (SELECT package AS library, min(p) AS path FROM (SELECT package, regexp_extract(filename, '^(.+?)[-_]v?(\\d[^/]*?)(?:\\.src\\.rpm|\\.tar\\.[a-z0-9]+|\\.tgz|\\.zip|\\.jar)$', 1) AS p FROM processed WHERE filename IS NOT NULL AND package IS NOT NULL)
         GROUP BY 1 HAVING count(DISTINCT p) = 1), w AS (SELECT package AS library, package AS path, 0 AS k FROM canonical_package UNION ALL SELECT originalname, newname, 1 FROM renames WHERE newname IS NOT NULL UNION ALL SELECT library, path, 2 FROM so)
         SELECT n.library, arg_min(path, (k, path)) AS path, coalesce(['name', 'link', 'soname'][min(k) + 1], 'unresolved') AS way FROM (SELECT DISTINCT package AS library FROM processed WHERE package IS NOT NULL) n LEFT JOIN w USING (library) GROUP BY n.library""",
+    "file_tags": "SELECT checksum AS key, NOT regexp_matches(head, '[^\\x09-\\x0d\\x20-\\x7e]') AS is_text FROM source_head WHERE head IS NOT NULL AND head <> ''",
+    "file_strings": """SELECT checksum AS key, count(*) AS n, sum(length(x))::BIGINT AS chars FROM (SELECT checksum, unnest(regexp_extract_all(head, '[\\x20-\\x7e\\t]{5,}')) AS x FROM source_head) GROUP BY 1""",
     "symbol_resolution": with_base(f", {_SYMBOLS} SELECT * FROM res"),
     "library_use": with_base(f", {_SYMBOLS} SELECT file, library, count(symbol) AS symbols, count(symbol) > 0 AS used FROM decl LEFT JOIN res USING (file, library) GROUP BY ALL"),
     "symbol_types": "SELECT substr(functionname, 1, 4) AS version, functionname AS symbol, CASE WHEN count(DISTINCT language) = 1 THEN min(language) WHEN count(DISTINCT language) > 1 THEN 'undecided' ELSE 'unknown' END AS type FROM extracted_function WHERE functionname IS NOT NULL GROUP BY ALL",
@@ -381,6 +409,6 @@ QUERIES = {
         duplicate_groups, dedup_first, tag_gate, prune_tags, file_hashes, file_crc32, path_parts, path_without_root, path_ancestors, range_exclusion, range_next, carve_gaps, clone_containment, package_hash_counts,
         third_party, known_files, not_in_kb, hash_xref, tree_comparison, file2package, rename_merge, duplicate_archives, new_contents, version_order, first_version, archive_names, copyright_lines, shell_invocations,
         urls, url_hosts, emails, forge_markers, license_markers, code_smells, login_search, lcp_provider, equivalent_modules, dependency_closure, edge_types, library_resolution, symbol_resolution, library_use,
-        symbol_types, match_statistics, score_share_others, version_squash, json_report,
+        symbol_types, match_statistics, score_share_others, version_squash, json_report, file_tags, file_strings, marker_offsets, fuzzy_nearest,
     )
 }
