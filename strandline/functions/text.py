@@ -45,8 +45,8 @@ def unescaped(literal: Column) -> Column:
 
 
 def line_at(text: Column, offset: Column) -> Column:
-    """The number, from 1, of the line in which a character lies."""
-    before = F.substring(text, F.lit(1), offset)
+    """The number, from 1, of the line in which the character at an offset from 1 lies."""
+    before = F.substring(text, F.lit(1), offset - 1)
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
 
 

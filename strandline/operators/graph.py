@@ -45,7 +45,7 @@ def resolved_links(links: DataFrame, *, most: int = 32) -> DataFrame:
         own = step.drop("moved")
         if step.where("moved").isEmpty():
             break
-    return own.join(hop.select("target"), "target", "left_anti")
+    return own.join(hop.select("target"), "target", "left_anti").select("path", "target")
 
 
 def library_files(needed: DataFrame, files: DataFrame, links: DataFrame, sonames: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def package_scores(classified: DataFrame, cache: DataFrame) -> DataFrame:
     """(container, package, unique_score, nonunique_score): the parts of the score that need no assignment."""
     unique = classified.where("class = 'unique'").select("container", "package", F.col("score").alias("u"), F.lit(0.0).alias("o"))
     shared = classified.where("class = 'notclone'").select("container", "language", "line", "score")
-    other = shared.join(cache, ["language", "line"]).select("container", cache["package"], F.lit(0.0).alias("u"), F.col("score").alias("o"))
+    other = shared.join(cache, ["language", "line"]).select("container", "package", F.lit(0.0).alias("u"), F.col("score").alias("o"))
     return unique.unionByName(other).groupBy("container", "package").agg(F.sum("u").alias("unique_score"), F.sum("o").alias("nonunique_score"))
 
 

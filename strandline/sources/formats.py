@@ -10,7 +10,7 @@ _text = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in n
 PACKAGE_LIST = _text("package", "version", "filename", "origin")
 DOWNLOAD_URLS = _text("downloadurl", "website")
 REWRITES = ("package", "version", "filename", "origin", "sha256", "newpackage", "newversion")
-SCAN_RESULT = T.StructType.fromDDL(
+SCAN_RESULT = (
     "name string, relativename string, path string, realpath string, magic string, tags array<string>, size long, checksum string, scans array<struct<offset: long, size: long, scanname: string, scanreports: array<string>>>"
 )
 
