@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.burst_trie import BurstTrie
+from strandline.session import cut
 
 #: Lengths in bytes at which a prefix that is still too heavy is made longer.
 STEPS = (1, 2, 4, 8)
@@ -32,9 +33,11 @@ def heavy_prefixes(terms: DataFrame, routes: int) -> dict[bytes, int]:
     those of the last length are divided. At most ``routes`` prefixes of each length can be that heavy, so the
     result is bounded whatever the input; counts are over all rows and combined on the map side. ``terms`` has the
     columns field (int) and term (binary)."""
-    prefix = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("term", 1, n).alias("p")) for n in STEPS]))
-    counts = terms.select("field", prefix.alias("x")).groupBy("field", "x.n", "x.p").agg(F.count(F.lit(1)).alias("c"))
-    total = terms.count()
+    # One grouping at the longest step; the shorter prefixes are sums of its far fewer groups.
+    longest = terms.groupBy("field", F.substring("term", 1, STEPS[-1]).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    prefix = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("p", 1, n).alias("p")) for n in STEPS]))
+    counts = cut(longest.select("field", "c", prefix.alias("x")).groupBy("field", "x.n", "x.p").agg(F.sum("c").alias("c")))
+    total = counts.where(F.col("n") == STEPS[0]).agg(F.sum("c")).first()[0] or 0
     limit = max(1, total // routes)
     rows = counts.where(F.col("c") > limit).collect()
     return {(r["field"], r["n"], bytes(r["p"])): -(-r["c"] // limit) for r in rows}
