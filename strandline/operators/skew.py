@@ -44,3 +44,9 @@ def replicated(df: DataFrame, key: str, hot: Sequence, parts: int) -> DataFrame:
         return df.withColumn(SALT, F.lit(0))
     every = F.sequence(F.lit(0), F.lit(parts - 1))
     return df.withColumn(SALT, F.explode(F.when(F.col(key).isin(list(hot)), every).otherwise(F.array(F.lit(0)))))
+
+
+def workers(df: DataFrame) -> int:
+    """Parts for work that is heavy for its bytes, which the sizes of partitions would put into one task."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
