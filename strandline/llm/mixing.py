@@ -87,7 +87,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total: int | None = None, s
     report = spark.createDataFrame(plan, "source string, weight double, max_repeat int, documents long, available long, budget double")
     report = report.join(sizes, "source", "left").withColumn("chosen", F.coalesce("chosen", F.lit(0)))
     short = (F.col("chosen") < F.col("budget")) & ((F.col("documents") == 0) | (F.coalesce("max_repeat", F.lit(0)) < 1) | ((F.col("used") == F.col("documents")) & (F.col("least") >= F.col("max_repeat"))))
-    share = F.col("chosen") / F.sum("chosen").over(Window.partitionBy())
+    share = F.try_divide(F.col("chosen"), F.sum("chosen").over(Window.partitionBy()))
     return chosen, report.select(
         "source", "weight", "max_repeat", "documents", "available", "budget", "chosen", share.alias("share"), F.when(short, F.col("budget") - F.col("chosen")).otherwise(F.lit(0.0)).alias("shortfall"), short.alias("short")
     )

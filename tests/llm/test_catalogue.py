@@ -1,0 +1,30 @@
+"""The queries of this package: against their SQL, and by their own properties where SQL cannot say it."""
+
+import pytest
+
+from strandline.llm import catalogue
+from strandline.sources import table
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+def test_query_agrees_with_sql(name, same_as_sql):
+    same_as_sql(catalogue.QUERIES[name], catalogue.SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
+def test_query_without_sql_runs(name, spark, small):
+    frame = catalogue.QUERIES[name](spark, small)
+    assert frame.count() >= 0
+
+
+def test_columns_are_those_fixed(spark, small):
+    want = {"p2_found": ["field", "term", "mark"], "p3_found": ["table_name", "row_id"], "p4_found": ["row_id"], "p5_found": ["package", "stringidentifier"], "p7_found": ["field", "row_id", "package_id"], "p8_ids": ["doc_id", "ids"], "p10_found": ["doc_a", "doc_b"]}
+    for name, columns in want.items():
+        assert catalogue.QUERIES[name](spark, small).columns == columns, name
+
+
+def test_every_name_has_an_answer(spark, small):
+    found = catalogue.QUERIES["p7_found"](spark, small)
+    named = sum(table(spark, small, t).where(f"{c} is not null").count() for t, c in (("processed", "package"), ("renames", "originalname"), ("renames", "newname")))
+    assert found.count() == named == found.select("field", "row_id").distinct().count()
+    assert found.where("package_id is null").count() == 0
