@@ -119,3 +119,13 @@ def other_versions(modules: DataFrame, kernels: DataFrame) -> DataFrame:
 
 def ranked_by_rule(df: DataFrame, group: Sequence[str], order: Sequence, name: str = "place") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def library_edges(declared: DataFrame, resolved: DataFrame, undefined: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """(file, library, kind): used for declared libraries that give a symbol, unused for others, and knowninterface
+    (without a library) for files all of whose unresolved symbols belong to known interfaces (symbol)."""
+    use = library_use(declared, resolved).select("file", "library", F.when(F.col("used"), "used").otherwise("unused").alias("kind"))
+    open_ = undefined.select("file", "symbol").distinct().join(resolved.select("file", "symbol"), ["file", "symbol"], "left_anti")
+    known = open_.join(interfaces.select("symbol").distinct().withColumn("known", F.lit(1)), "symbol", "left")
+    all_known = known.groupBy("file").agg(F.min(F.coalesce("known", F.lit(0))).alias("k")).where("k = 1")
+    return use.unionByName(all_known.select("file", F.lit(None).cast("string").alias("library"), F.lit("knowninterface").alias("kind")))
