@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.skew import SALT, fan, hot_keys, replicated, salted
+from strandline.operators.skew import SALT, fan, hot_keys, replicated, salted, workers
 
 #: Entries of a reference that is sent whole to every worker (a few MB as a tree), and entries of a shard beyond it.
 WHOLE_ENTRIES = SHARD_ENTRIES = 50_000
@@ -202,7 +202,7 @@ def match_names(names: DataFrame, entries: DataFrame, *, most: int = 2, whole: i
             for frame in frames:
                 yield _matched(frame["name"], matcher)
 
-        found = distinct.mapInPandas(match, _MATCH)
+        found = distinct.repartition(workers(names), F.xxhash64("name")).mapInPandas(match, _MATCH)
     else:
         shards = -(-n // shard)
         salts = max(1, -(-distinct.count() // GROUP_NAMES))
