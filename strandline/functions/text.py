@@ -72,3 +72,25 @@ def archive_parts(name: Column) -> Column:
     """package and version in the file name of an archive."""
     pattern = r"^(.+?)[-_]v?(\d[^/]*?)(?:\.src\.rpm|\.tar\.[a-z0-9]+|\.tgz|\.zip|\.jar)$"
     return F.struct(F.regexp_extract(name, pattern, 1).alias("package"), F.regexp_extract(name, pattern, 2).alias("version"))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty and . parts and with .. taken for the directory above; a leading slash stays."""
+    empty = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/"))
+
+
+def bare_function(name: Column) -> Column:
+    """A demangled function name without its arguments and scopes."""
+    return F.substring_index(F.regexp_replace(name, r"\(.*$", ""), "::", -1)
+
+
+def macro_arguments(source: Column, macros: list[str]) -> Column:
+    """First arguments of the named macros in source text, such as the symbols a kernel file exports."""
+    return F.regexp_extract_all(source, F.lit(r"\b(?:" + "|".join(macros) + r")\s*\(\s*\"?(\w+)"), F.lit(1))
+
+
+def spec_sources(spec: Column) -> Column:
+    """The sources and patches that an RPM specification names."""
+    return F.regexp_extract_all(spec, F.lit(r"(?mi)^\s*(?:source|patch)\d*\s*:\s*(\S+)"), F.lit(1))

@@ -73,6 +73,20 @@ def next_range(points: DataFrame, ranges: DataFrame) -> DataFrame:
     return both.withColumn("start", F.coalesce(start, F.lit(0))).where("kind = 1").select("key", F.col("at").alias("x"), "start")
 
 
+def next_trailer(headers: DataFrame, trailers: DataFrame) -> DataFrame:
+    """(key, header, trailer): each header offset (key, offset) with the first trailer (key, offset) at or behind it;
+    headers without one are left out."""
+    both = headers.select("key", "offset", F.lit(0).alias("kind")).unionByName(trailers.select("key", "offset", F.lit(1).alias("kind")))
+    behind = Window.partitionBy("key").orderBy("offset", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    trailer = F.first(F.when(F.col("kind") == 1, F.col("offset")), ignorenulls=True).over(behind)
+    return both.withColumn("trailer", trailer).where("kind = 0 and trailer is not null").select("key", F.col("offset").alias("header"), "trailer")
+
+
+def tag_statistics(files: DataFrame) -> DataFrame:
+    """(tag, n, bytes): files and their sizes by tag."""
+    return files.select(F.explode("tags").alias("tag"), "size").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
 def gaps(ranges: DataFrame) -> DataFrame:
     """(key, lo, hi) of what lies between the claimed ranges (key, lo, hi) of each file."""
     before = F.max("hi").over(Window.partitionBy("key").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))

@@ -129,3 +129,17 @@ def library_edges(declared: DataFrame, resolved: DataFrame, undefined: DataFrame
     known = open_.join(interfaces.select("symbol").distinct().withColumn("known", F.lit(1)), "symbol", "left")
     all_known = known.groupBy("file").agg(F.min(F.coalesce("known", F.lit(0))).alias("k")).where("k = 1")
     return use.unionByName(all_known.select("file", F.lit(None).cast("string").alias("library"), F.lit("knowninterface").alias("kind")))
+
+
+def plugin_uses(plugins: DataFrame, undefined: DataFrame, defined: DataFrame) -> DataFrame:
+    """(plugin, host, symbols): how many symbols that a plugin leaves undefined each host program defines.
+
+    ``plugins`` has file, ``undefined`` file and symbol, ``defined`` file and symbol."""
+    own = undefined.join(plugins.select("file").distinct(), "file").select(F.col("file").alias("plugin"), "symbol").distinct()
+    host = defined.join(plugins.select("file").distinct(), "file", "left_anti").select(F.col("file").alias("host"), "symbol").distinct()
+    return own.join(host, "symbol").groupBy("plugin", "host").agg(F.count(F.lit(1)).alias("symbols"))
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """(src, dst, type, n): symbols behind each edge, by type."""
+    return edges.groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("n"))

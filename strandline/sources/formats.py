@@ -21,6 +21,21 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.col("length").alias("size"), "content", F.sha2("content", 256).alias("key"))
 
 
+def source_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a source tree in a known language, with their language and text."""
+    from strandline.functions.text import language_of
+
+    own = binary_files(spark, path).withColumn("language", language_of(F.col("path")))
+    return own.where("language is not null").withColumn("text", F.decode("content", "utf-8"))
+
+
+def package_file_list(lists: DataFrame) -> DataFrame:
+    """(filename, directory, package) of rows with package, directory and filenames, the names joined by slashes, as
+    in the file lists of package databases."""
+    own = lists.select("package", "directory", F.explode(F.split("filenames", "/")).alias("filename"))
+    return own.where("filename != ''").select("filename", "directory", "package")
+
+
 def package_list(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated list of packages: package, version, filename, origin."""
     return spark.read.csv(path, sep="\t", schema=PACKAGE_LIST)

@@ -191,3 +191,28 @@ def test_audits(spark):
     assert rows(audit.crc_matches(entries, spark.createDataFrame([(5, "k"), (0, "n")], "crc long, key string"))) == [(5, "e", "k")]
     shadow = spark.createDataFrame([("root", "h"), ("x", None)], "login string, hash string")
     assert rows(audit.log_in_hits(shadow, spark.createDataFrame([("h", "pw")], "hash string, password string"))) == [("root", "h", "pw")]
+
+
+def test_paths_and_names(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    lit = F.lit
+    assert one(X.normal_path(lit("/usr//lib/./x/../y"))) == "/usr/lib/y" and one(X.normal_path(lit("a/../../b"))) == "b"
+    assert one(X.bare_function(lit("ns::Type::run(int, std::x)"))) == "run" and one(X.bare_function(lit("main"))) == "main"
+    assert one(X.macro_arguments(lit('EXPORT_SYMBOL(a); MODULE_LICENSE("GPL"); EXPORT_SYMBOL_GPL( b )'), ["EXPORT_SYMBOL", "EXPORT_SYMBOL_GPL"])) == ["a", "b"]
+    assert one(X.spec_sources(lit("Name: x\nSource0: a.tgz\nPatch1:  b.patch\n"))) == ["a.tgz", "b.patch"]
+
+
+def test_trailers_and_statistics(spark):
+    at = lambda *xs: spark.createDataFrame([("f", x) for x in xs], "key string, offset long")
+    assert rows(files.next_trailer(at(1, 5, 9), at(3, 5))) == [("f", 1, 3), ("f", 5, 5)]
+    df = spark.createDataFrame([(["a", "b"], 2), (["a"], 3), ([], 1)], "tags array<string>, size long")
+    assert rows(files.tag_statistics(df)) == [("a", 2, 5), ("b", 1, 2)]
+
+
+def test_plugins_and_edges(spark):
+    pair = lambda xs: spark.createDataFrame(xs, "file string, symbol string")
+    plugins = spark.createDataFrame([("p",)], "file string")
+    got = graph.plugin_uses(plugins, pair([("p", "s"), ("p", "t"), ("h", "s")]), pair([("h", "s"), ("h", "t"), ("p", "s")]))
+    assert rows(got) == [("p", "h", 2)]
+    edges = spark.createDataFrame([("a", "b", "k"), ("a", "b", "k"), ("a", "b", "g")], "src string, dst string, type string")
+    assert rows(graph.edge_counts(edges)) == [("a", "b", "g", 1), ("a", "b", "k", 2)]

@@ -67,3 +67,12 @@ def test_streams(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/win"), "k", "n", "total") == [("a", 1, 1.0), ("a", 2, 3.0), ("b", 1, 4.0)]
     streaming.run_once(streaming.sessions(stream(), "k", "ts"), f"{tmp_path}/ses", f"{tmp_path}/c3", "complete")
     assert rows(spark.read.parquet(f"{tmp_path}/ses"), "k", "n") == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_source_trees_and_file_lists(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1")
+    (tmp_path / "src" / "README").write_text("no")
+    assert [(r.language, r.text) for r in S.source_files(spark, f"{tmp_path}/src").collect()] == [("Python", "x = 1")]
+    df = spark.createDataFrame([("p", "/bin", "a/b//c")], "package string, directory string, filenames string")
+    assert rows(S.package_file_list(df)) == [("a", "/bin", "p"), ("b", "/bin", "p"), ("c", "/bin", "p")]
