@@ -36,6 +36,8 @@ PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N
 #: Words in the lexicon at most; it takes about 40 bytes a word.
 LEXICON_WORDS = 65_536
 _MEMO, _COUNTED = 400_000, 200_000
+#: Characters whose words are held at a time.
+PART = 1 << 20
 
 
 class WordEncoder:
@@ -58,6 +60,12 @@ def splitter():
     return regex.compile(PATTERN).findall
 
 
+def words_of():
+    import regex
+
+    return regex.compile(PATTERN).finditer
+
+
 def frequent_words(texts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
     """The most frequent words of the string column ``text`` over all rows: all that reach the least count, in steps
     of an eighth of a power of two, which no more than ``limit`` words reach.
@@ -65,7 +73,7 @@ def frequent_words(texts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
     Counts are over the whole collection, formed per worker and merged; at most ``limit`` words reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = splitter(), Counter()
+        split, each, counts = splitter(), words_of(), Counter()
 
         def held():
             return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -73,7 +81,7 @@ def frequent_words(texts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(split(text))
+                    counts.update(split(text) if len(text) <= PART else (m.group() for m in each(text)))
             if len(counts) > _COUNTED:
                 yield held()
                 counts = Counter()
@@ -125,7 +133,7 @@ class TextEncoder:
     """Encodes batches of texts in a worker; words already met are kept up to a bound."""
 
     def __init__(self, lexicon: str, vocabulary: str):
-        self._split = splitter()
+        self._split, self._each = splitter(), words_of()
         self._lexicon = Transducer(lexicon)
         self._words = WordEncoder(vocabulary)
         self._clear()
@@ -143,18 +151,37 @@ class TextEncoder:
         self._flat = np.concatenate([self._flat, *own])
 
     def encode(self, texts: list[str | None], only_sizes: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(sizes in ids, all ids one after the other or nothing)."""
+        """(sizes in ids, all ids one after the other or nothing). Texts are taken in parts of about PART characters,
+        and a longer one word by word, so that only a bounded number of words is held at a time."""
+        sizes, flat, at = [], [], 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and (to == at or chars + len(texts[to] or "") <= PART):
+                chars += len(texts[to] or "")
+                to += 1
+            n, ids = self._part(texts[at:to], only_sizes)
+            sizes.append(n)
+            flat.append(ids)
+            at = to
+        return (np.concatenate(sizes), np.concatenate(flat)) if sizes else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def _part(self, texts: list[str | None], only_sizes: bool) -> tuple[np.ndarray, np.ndarray]:
         if len(self._memo) > _MEMO:
             self._clear()
-        split = [self._split(t) if t else [] for t in texts]
-        memo, n = self._memo, sum(map(len, split))
-        at = np.fromiter((memo[w] for x in split for w in x), np.int64, n)
+        memo = self._memo
+        if len(texts) == 1 and texts[0] and len(texts[0]) > PART:
+            at = np.fromiter((memo[m.group()] for m in self._each(texts[0])), np.int64)
+            counts = [len(at)]
+        else:
+            split = [self._split(t) if t else [] for t in texts]
+            counts = list(map(len, split))
+            at = np.fromiter((memo[w] for x in split for w in x), np.int64, sum(counts))
         if memo.new:
             self._learn(memo.new)
             memo.new = []
         size = self._lengths[at]
         upto = np.concatenate([[0], np.cumsum(size)])
-        borders = np.cumsum([0, *map(len, split)])
+        borders = np.cumsum([0, *counts])
         sizes = upto[borders[1:]] - upto[borders[:-1]]
         if only_sizes:
             return sizes, self._flat[:0]
