@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -54,16 +55,46 @@ class WordEncoder:
         return self._core._encode_single_piece(word)
 
 
-def splitter():
-    import regex
+def _ranges(finds, top: int) -> str:
+    """The characters below ``top`` for which ``finds`` holds, as the inside of a character class."""
+    held = [finds(chr(i)) is not None for i in range(top)] + [False]
+    out, start = [], None
+    for i, ok in enumerate(held):
+        if ok and start is None:
+            start = i
+        elif not ok and start is not None:
+            out.append(re.escape(chr(start)) + (f"-{re.escape(chr(i - 1))}" if i - 1 > start else ""))
+            start = None
+    return "".join(out)
 
-    return regex.compile(PATTERN).findall
 
+class Splitter:
+    """Splits texts into words by the tokenizer's pattern.
 
-def words_of():
-    import regex
+    The standard library's engine is twice as fast as the one that knows Unicode properties, but for large classes of
+    characters; so texts of ASCII and of characters below U+2100 get patterns of their own, made from the properties."""
 
-    return regex.compile(PATTERN).finditer
+    def __init__(self):
+        import regex
+
+        self._all = regex.compile(PATTERN)
+        self._beyond = re.compile("[\u2100-\U0010ffff]").search
+        self._ascii, self._low = (self._narrow(regex, top) for top in (128, 0x2100))
+
+    @staticmethod
+    def _narrow(regex, top: int) -> re.Pattern:
+        letter, number, space = (_ranges(regex.compile(p).fullmatch, top) for p in (r"\p{L}", r"\p{N}", f"[{_SPACE}]"))
+        return re.compile(rf" ?[{letter}]++|'(?:[sdmt]|ll|ve|re)| ?[{number}]++| ?[^{space}{number}{letter}]++|[{space}]+(?![^{space}])|[{space}]+")
+
+    def _for(self, text: str):
+        return self._ascii if text.isascii() else self._all if self._beyond(text) else self._low
+
+    def words(self, text: str) -> list[str]:
+        return self._for(text).findall(text)
+
+    def each(self, text: str) -> Iterator[str]:
+        """The words one by one, for texts too long to hold all their words."""
+        return (m.group() for m in self._for(text).finditer(text))
 
 
 def frequent_words(texts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
@@ -73,7 +104,7 @@ def frequent_words(texts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
     Counts are over the whole collection, formed per worker and merged; at most ``limit`` words reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, each, counts = splitter(), words_of(), Counter()
+        split, counts = Splitter(), Counter()
 
         def held():
             return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -81,7 +112,7 @@ def frequent_words(texts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(split(text) if len(text) <= PART else (m.group() for m in each(text)))
+                    counts.update(split.words(text) if len(text) <= PART else split.each(text))
             if len(counts) > _COUNTED:
                 yield held()
                 counts = Counter()
@@ -133,7 +164,7 @@ class TextEncoder:
     """Encodes batches of texts in a worker; words already met are kept up to a bound."""
 
     def __init__(self, lexicon: str, vocabulary: str):
-        self._split, self._each = splitter(), words_of()
+        self._split = Splitter()
         self._lexicon = Transducer(lexicon)
         self._words = WordEncoder(vocabulary)
         self._clear()
@@ -170,10 +201,10 @@ class TextEncoder:
             self._clear()
         memo = self._memo
         if len(texts) == 1 and texts[0] and len(texts[0]) > PART:
-            at = np.fromiter((memo[m.group()] for m in self._each(texts[0])), np.int64)
+            at = np.fromiter((memo[w] for w in self._split.each(texts[0])), np.int64)
             counts = [len(at)]
         else:
-            split = [self._split(t) if t else [] for t in texts]
+            split = [self._split.words(t) if t else [] for t in texts]
             counts = list(map(len, split))
             at = np.fromiter((memo[w] for x in split for w in x), np.int64, sum(counts))
         if memo.new:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm import mixing, spans
 from strandline.llm.spans import document_pairs, passages, shared_runs, shares
-from strandline.llm.tokenize import VOCABULARIES, VOCABULARY, encode_texts, frequent_words, text_sizes
+from strandline.llm.tokenize import PATTERN, VOCABULARIES, VOCABULARY, Splitter, encode_texts, frequent_words, text_sizes
 from strandline.llm.transducer import Transducer, compile_words
 from strandline.sources import table
 
+SPLITTER = Splitter()
 ODD = [None, "", " ", "\n\n \t", "<|endoftext|> is text", "I'll don't WE'RE", "a\x1cb\x85c d", "日本語テキスト", "🙂🙂 x", "naïve é", "x" * 30_000, "1234567 ½²", "  two  spaces ", "\x00\x01"]
 
 
@@ -61,6 +62,15 @@ def test_encoding_is_the_tokenizers(spark, small, reference, words):
     assert all(back[r.doc_id] == (r.text or "") for r in docs.collect())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text(st.characters(max_codepoint=0x2200), max_size=40), st.text(" \t\n'aZ9.sté½\u2009\x1c_", max_size=30)))
+def test_fast_patterns_split_alike(text):
+    import regex
+
+    assert SPLITTER.words(text) == regex.findall(PATTERN, text) == list(SPLITTER.each(text))
+    assert "".join(SPLITTER.words(text)) == text
+
+
 def test_encoding_of_an_empty_table_and_clashes(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert encode_texts(none, "text").count() == 0
