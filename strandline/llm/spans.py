@@ -130,23 +130,34 @@ def spans(texts: DataFrame, length: int, span: int) -> DataFrame:
     return texts.select("digest", "text").mapInArrow(hashed, "digest long, hash long, before long")
 
 
-def _runs(a: np.ndarray, b: np.ndarray, ha: np.ndarray, hb: np.ndarray, length: int) -> list[tuple[int, int]]:
+class Text:
+    """Code points of a text, and the hashes of its stretches of a length in the order of the text and in their own."""
+
+    __slots__ = ("hashes", "order", "points", "ranked")
+
+    def __init__(self, text: str, length: int, hasher: Hasher):
+        self.points = code_points(text)
+        self.hashes = hasher(self.points, length)
+        self.order = np.argsort(self.hashes, kind="stable")
+        self.ranked = self.hashes[self.order]
+
+
+def _runs(a: Text, b: Text, length: int) -> list[tuple[int, int]]:
     """Maximal stretches of ``a`` whose every ``length`` characters occur in ``b``, as (from, to)."""
-    order = np.argsort(hb, kind="stable")
-    at = np.searchsorted(hb, ha, sorter=order)
-    at = np.minimum(at, len(hb) - 1)
-    there = hb[order[at]] == ha
-    hits = np.flatnonzero(there)
-    if not len(hits):
+    # The hashes of a in their own order walk through those of b, which spares the cache.
+    at = np.minimum(np.searchsorted(b.ranked, a.ranked), len(b.ranked) - 1)
+    there = b.ranked[at] == a.ranked
+    if not there.any():
         return []
-    # One exact look at each stretch: equal hashes must be equal characters.
-    split = np.flatnonzero(np.diff(hits) > 1) + 1
+    hits, places = a.order[there], b.order[at[there]]
+    by = np.argsort(hits)
+    hits, places = hits[by], places[by]
     out = []
-    for part in np.split(hits, split):
-        i = int(part[0])
-        j = int(order[at[i]])
-        if np.array_equal(a[i : i + length], b[j : j + length]):
-            out.append((i, int(part[-1]) + length))
+    # One exact look at each stretch: equal hashes must be equal characters.
+    for part in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(hits) > 1) + 1):
+        i, j = int(hits[part[0]]), int(places[part[0]])
+        if np.array_equal(a.points[i : i + length], b.points[j : j + length]):
+            out.append((i, int(hits[part[-1]]) + length))
     return out
 
 
@@ -195,20 +206,19 @@ def shared_runs(documents: DataFrame, *, length: int = 200, span: int = 120) ->
         hasher, kept = Hasher(), {}
         kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
-        def of(key: int, text: str):
+        def of(key: int, text: str) -> Text:
             if key not in kept:
-                if len(kept) > 64:
+                if len(kept) > 256:
                     kept.clear()
-                points = code_points(text)
-                kept[key] = points, hasher(points, length)
+                kept[key] = Text(text, length, hasher)
             return kept[key]
 
         for batch in batches:
             rows = []
             for class_a, class_b, text_a, text_b in zip(*[c.to_pylist() for c in batch.columns]):
-                (pa_, ha), (pb, hb) = of(class_a, text_a), of(class_b, text_b)
-                if in_a := _runs(pa_, pb, ha, hb, length):
-                    rows.append((class_a, class_b, in_a, _runs(pb, pa_, hb, ha, length)))
+                a, b = of(class_a, text_a), of(class_b, text_b)
+                if in_a := _runs(a, b, length):
+                    rows.append((class_a, class_b, in_a, _runs(b, a, length)))
             if rows:
                 columns = list(zip(*rows))
                 arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())]
