@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.skew import SALT, fan, hot_keys, replicated, salted
+from strandline.operators.skew import SALT, fan, hot_keys, replicated, salted, workers
 from strandline.session import cut
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -199,7 +199,9 @@ def shared_runs(documents: DataFrame, *, length: int = 200, span: int = 120) ->
     pairs = cut(pairs.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")))
     needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("doc_id")).distinct()
     texts = cut(docs.join(needed, "doc_id", "left_semi"))
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "class_a", "text": "text_a"}), "class_a").join(texts.withColumnsRenamed({"doc_id": "class_b", "text": "text_b"}), "class_b")
+    # The comparison is heavy for its bytes: the second join runs in a given number of parts, which are not merged.
+    half = pairs.join(texts.withColumnsRenamed({"doc_id": "class_a", "text": "text_a"}), "class_a").repartition(workers(documents), "class_b")
+    both = half.join(texts.withColumnsRenamed({"doc_id": "class_b", "text": "text_b"}), "class_b")
     stretch = "array<struct<from: int, to: int>>"
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
