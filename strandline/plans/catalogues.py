@@ -302,7 +302,7 @@ def match_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_share_others(spark: SparkSession, d: str) -> DataFrame:
-    return R.with_others(matching.string_match_rank(spark, d), upto=60.0, least=2.0).withColumn("share", F.round("share", 4))
+    return R.with_others(matching.string_match_rank(spark, d), upto=60.0, least=2.0).withColumn("share", F.round("share", 6))
 
 
 def version_squash(spark: SparkSession, d: str) -> DataFrame:
@@ -398,7 +398,7 @@ SQL = {
     "symbol_types": "SELECT substr(functionname, 1, 4) AS version, functionname AS symbol, CASE WHEN count(DISTINCT language) = 1 THEN min(language) WHEN count(DISTINCT language) > 1 THEN 'undecided' ELSE 'unknown' END AS type FROM extracted_function WHERE functionname IS NOT NULL GROUP BY ALL",
     "match_statistics": with_base("SELECT class, sum(n)::BIGINT AS n FROM classified GROUP BY class"),
     "score_share_others": "WITH k AS (" + matching.SQL["string_match_rank"] + """), b AS (SELECT *, coalesce(sum(share) OVER (PARTITION BY container ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
-        SELECT container, CASE WHEN before < 60 AND share >= 2 THEN package ELSE 'others' END AS package, round(sum(share), 4) AS share FROM b GROUP BY ALL""",
+        SELECT container, CASE WHEN before < 60 AND share >= 2 THEN package ELSE 'others' END AS package, round(sum(share), 6) AS share FROM b GROUP BY ALL""",
     "version_squash": """WITH o AS (SELECT DISTINCT package, regexp_replace(version, '\\.?[^.]*$', '') AS prefix, regexp_extract(version, '([^.]*)$', 1) AS l FROM processed_file WHERE package IS NOT NULL AND version IS NOT NULL),
         g AS (SELECT package, prefix, list_sort(list(l)) AS l FROM o GROUP BY ALL)
         SELECT package, prefix, CASE WHEN prefix = '' THEN '' ELSE prefix || '.' END || CASE WHEN len(l) = 1 THEN l[1] ELSE '{' || array_to_string(l, ', ') || '}' END AS versions FROM g""",
