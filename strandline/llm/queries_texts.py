@@ -49,7 +49,7 @@ QUERIES = {f.__name__: f for f in (p8_ids, p8_sizes, p9_mix, p9_report, p10_foun
 #: Neither a tokenizer nor the choice by hash can be said in SQL; see tests/llm.
 SQL = {
     "p10_found": """
-WITH g AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h
+WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h
   FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id"""
 }
