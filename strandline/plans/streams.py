@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import streaming
-from strandline.session import shared_folder
+from strandline.session import scratch
 from strandline.sources import table
 
 
@@ -19,7 +17,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ran(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     streaming.run_once(stream, f"{at}/out", f"{at}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 

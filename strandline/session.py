@@ -43,18 +43,23 @@ def cut(df: DataFrame) -> DataFrame:
     driver ends, or earlier by ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths.setdefault(id(spark.sparkContext), (spark, []))[1].append(path)
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _paths: dict[int, tuple[SparkSession, list[str]]] = {}
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends, or earlier by ``release``."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _paths.setdefault(id(spark.sparkContext), (spark, []))[1].append(path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
-    """Delete the tables that ``cut`` wrote in this application; results that still read them must be used up."""
+    """Delete what this application wrote into the shared folder; results that still read it must be used up."""
     _, paths = _paths.pop(id(spark.sparkContext), (None, []))
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:

@@ -40,6 +40,14 @@ def test_composite_keys(spark, match):
     assert got == {"simple": {2}, "full": {2, 3, 4, 6}, "partial": {2, 4}}[match]
 
 
+def test_hot_composite_keys_are_salted(spark):
+    rows = [(i, "hot", 1) for i in range(400)] + [(i, "cold", i) for i in range(400, 500)]
+    r = spark.createDataFrame(rows, "id int, p string, q int")
+    t = spark.createDataFrame([("hot", 1), ("cold", 450)], "x string, y int")
+    assert {x.id for x in orphans(r, t, [("p", "x"), ("q", "y")]).collect()} == set(range(400, 500)) - {450}
+    assert {x.id for x in orphans(r, t.where("x != 'hot'"), [("p", "x"), ("q", "y")]).collect()} == set(range(500)) - {450}
+
+
 def test_orphans_of_empty_tables(spark):
     r = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id int, k string")
     none = spark.createDataFrame([], "k string")
