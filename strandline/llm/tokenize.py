@@ -14,19 +14,18 @@ from __future__ import annotations
 import base64
 import os
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.transducer import Transducer, compile_words
-from strandline.session import cut, shared_folder
+from strandline.session import cut, scratch
 
 #: Folder of the public vocabularies; each function takes another as a parameter.
 VOCABULARIES = os.environ.get("STRANDLINE_VOCABULARIES", "/opt/tokenizers")
@@ -130,22 +129,25 @@ def frequent_words(texts: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
     return [] if least is None else [bytes(r["word"]) for r in found.where(level >= least).select("word").collect()]
 
 
-def publish_lexicon(texts: DataFrame, vocabularies: str = VOCABULARIES, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS) -> tuple[str, str]:
-    """Compiles the lexicon and sends it and the vocabulary to all executors; returns their file names there.
-
-    The compiled file lies in the shared folder, from which an executor that comes later gets it too."""
-    sc = texts.sparkSession.sparkContext
-    encoder = WordEncoder(os.path.join(vocabularies, vocabulary))
-    data = compile_words((w, encoder.ids(w)) for w in frequent_words(texts, words))
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    target = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(texts.sparkSession)}/{name}")
+def _published(spark: SparkSession, data: bytes, kind: str) -> str:
+    """Sends a file to all executors through the shared folder, from which one that comes later gets it too; returns
+    its name there, which is never used twice."""
+    sc, path = spark.sparkContext, scratch(spark, kind)
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
     out.write(bytearray(data))
     out.close()
     sc.addFile(target.toString())
-    # Under a name of its own: the same name may stand for another vocabulary later.
-    sc.addFile(os.path.join(vocabularies, vocabulary))
-    return name, vocabulary
+    return path.rsplit("/", 1)[1]
+
+
+def publish_lexicon(texts: DataFrame, vocabularies: str = VOCABULARIES, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS) -> tuple[str, str]:
+    """Compiles the lexicon and sends it and the vocabulary to all executors; returns their file names there."""
+    path, spark = os.path.join(vocabularies, vocabulary), texts.sparkSession
+    encoder = WordEncoder(path)
+    lexicon = compile_words((w, encoder.ids(w)) for w in frequent_words(texts, words))
+    with open(path, "rb") as f:
+        return _published(spark, lexicon, "lexicon"), _published(spark, f.read(), "vocabulary")
 
 
 class _Numbers(dict):
