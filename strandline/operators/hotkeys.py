@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from strandline.operators.skew import SALT, fan, hot_keys, replicated, salted
 from strandline.session import cut
 
-#: Unresolved ranks up to this number (a row takes well below 1 kB) are broadcast; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Unresolved ranks are broadcast up to this size in bytes, which is measured first; beyond it they are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def ranks(df: DataFrame, key: str, value: str, wanted: Sequence[float], *, buckets: int = 1024) -> DataFrame:
@@ -43,12 +43,12 @@ def ranks(df: DataFrame, key: str, value: str, wanted: Sequence[float], *, bucke
     while True:
         done, open_ = state.where("v is not null").select("k", "f", "n", "v"), state.where("v is null").drop("v")
         out = done if out is None else out.unionByName(done)
-        left = open_.count()
-        if not left:
+        left = open_.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col("k").cast("string"))).alias("bytes")).first()
+        if not left["n"]:
             return out.select(F.col("k").alias(key), "f", "n", F.col("v").alias(value))
         # lo and hi are values that occur and differ, and the rank lies strictly between theirs.
         asked = open_.select("k", "f", "n", "rank", F.col("lo").alias("from"), F.col("hi").alias("to"), F.expr(f"(hi - lo) div {buckets}L + 1").alias("w"))
-        if left <= BROADCAST_ROWS:
+        if left["bytes"] + 80 * left["n"] <= BROADCAST_BYTES:
             met = data.join(F.broadcast(asked), "k")
         else:
             hot = hot_keys(data, "k") if hot is None else hot

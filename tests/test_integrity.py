@@ -87,7 +87,7 @@ def test_ranks_match_sorting(spark):
 def test_ranks_without_broadcast(spark, monkeypatch):
     from strandline.operators import hotkeys
 
-    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(hotkeys, "BROADCAST_BYTES", 0)
     rows = [("a", i * i) for i in range(500)] + [("b", i) for i in range(90)]
     got = {r.k: r.v for r in ranks(spark.createDataFrame(rows, "k string, v long"), "k", "v", [0.5], buckets=4).collect()}
     assert got == {"a": 249**2, "b": 44}
