@@ -68,23 +68,21 @@ def _key(columns: Sequence[str]):
 
 
 def _unmatched(references: DataFrame, targets: DataFrame, keys: Sequence[tuple[str, str]], validity: Validity | None) -> DataFrame:
-    given = references.columns
-    hidden = [_KEY, _HASH, _AT, _BIN, SALT]
-    if set(hidden) & set(given):
-        raise ValueError(f"references may not have the columns {hidden}")
+    # The row travels as one column, so that no name of the references can clash with those used here.
+    given = "__row.*"
     # Hot keys are told by a hash, which serves keys of any number of columns; two keys of one hash are salted alike.
     hashed = lambda df: df.withColumn(_HASH, F.xxhash64(_KEY))
-    r = hashed(references.withColumn(_KEY, _key([k for k, _ in keys])))
+    r = hashed(references.select(F.struct("*").alias("__row"), _key([k for k, _ in keys]).alias(_KEY)))
     t = targets.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for _, k in keys]))
     hot, parts = hot_keys(r.select(_HASH), _HASH), fan(references)
-    spread = F.struct(*[F.col(c) for c, kind in references.dtypes if not kind.startswith("map")])
+    spread = F.struct(*[F.col(f"__row.`{c}`") for c, kind in references.dtypes if not kind.startswith("map")])
     if validity is None:
         t = replicated(hashed(t.select(_key([k for _, k in keys]).alias(_KEY)).distinct()), _HASH, hot, parts)
-        return salted(r, _HASH, hot, spread, parts).join(t.drop(_HASH), [_KEY, SALT], "left_anti").select(*given)
+        return salted(r, _HASH, hot, spread, parts).join(t.drop(_HASH), [_KEY, SALT], "left_anti").select(given)
     t = t.select(_key([k for _, k in keys]).alias(_KEY), F.col(validity.valid_from).alias(_FROM), F.col(validity.valid_to).alias(_TO)).where(F.col(_FROM).isNotNull())
     lasting = t.where(F.col(_TO).isNull()).groupBy(_KEY).agg(F.min(_FROM).alias(_FROM))
     lasting = replicated(hashed(lasting), _HASH, hot, parts)
-    a = salted(r.withColumn(_AT, F.col(validity.at)), _HASH, hot, spread, parts).alias("r")
+    a = salted(r.withColumn(_AT, F.col(f"__row.{validity.at}")), _HASH, hot, spread, parts).alias("r")
     b = lasting.alias("t")
     rest = a.join(b, (F.col(f"r.{_KEY}") == F.col(f"t.{_KEY}")) & (F.col(f"r.{SALT}") == F.col(f"t.{SALT}")) & (F.col(f"t.{_FROM}") <= F.col(f"r.{_AT}")), "left_anti")
     # What is valid for a time only, cut at month borders and joined up within each month.
@@ -96,7 +94,7 @@ def _unmatched(references: DataFrame, targets: DataFrame, keys: Sequence[tuple[s
     c = rest.withColumn(_BIN, month(F.col(_AT))).alias("r")
     d = clipped.alias("t")
     on = (F.col(f"r.{_KEY}") == F.col(f"t.{_KEY}")) & (F.col(f"r.{_BIN}") == F.col(f"t.{_BIN}")) & (F.col(f"t.{_FROM}") <= F.col(f"r.{_AT}")) & (F.col(f"t.{_TO}") > F.col(f"r.{_AT}"))
-    return c.join(d, on, "left_anti").select(*given)
+    return c.join(d, on, "left_anti").select(given)
 
 
 def orphan_report(found: DataFrame, table: str = "table_name", at: str = "loaded_at") -> DataFrame:

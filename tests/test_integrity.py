@@ -26,7 +26,10 @@ def test_orphans_with_validity_match_brute_force(spark):
     r = spark.createDataFrame(refs, "row_id long, k string, t timestamp")
     # A target column named as one of the references must not clash.
     t = spark.createDataFrame(targets, "k string, t timestamp, gone timestamp").withColumn("row_id", F.lit(1))
-    got = {x.row_id for x in orphans(r, t, [("k", "k")], validity=Validity("t", "t", "gone")).collect()}
+    r = r.withColumn("__key", F.lit(1)).withColumn("__salt", F.lit("x"))
+    found = orphans(r, t, [("k", "k")], validity=Validity("t", "t", "gone"))
+    assert found.columns == r.columns
+    got = {x.row_id for x in found.collect()}
     want = {i for i, k, x in refs if k is not None and not any(tk == k and f is not None and x is not None and f <= x and (g is None or g > x) for tk, f, g in targets)}
     assert got == want
 
