@@ -232,8 +232,10 @@ def map_names(values: DataFrame, name: str, reference: DataFrame, renames: DataF
     spelling, stands for what the new one stands for, to the end of the chain; of several renames of one old name
     that of the least row_id holds; a null new name, or a circle without any entry in it, leads nowhere; a circle
     through an entry (a name "renamed" to another spelling of itself) ends at it. Null names get a null id. Rows of
-    one name that holds much of the table are spread when the results are joined back.
+    one name that holds much of the table are spread when the results are joined back. Another column entry_id is
+    replaced.
     """
+    values = values.drop("entry_id")
     own = reference.where("entry is not null").groupBy("entry").agg(F.min("entry_id").alias("entry_id"))
     keyed = own.withColumn("k", _key("entry"))
     links = values.sparkSession.createDataFrame(list(_resolved(keyed, renames, most).items()), "k string, linked long")

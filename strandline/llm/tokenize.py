@@ -235,21 +235,20 @@ def _encoder(lexicon: str, vocabulary: str) -> TextEncoder:
 def encode_texts(df: DataFrame, text: str, *, vocabularies: str = VOCABULARIES, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS) -> DataFrame:
     """``df`` without ``text`` and with ``ids``, the list of ids of each text. No shuffle; rows stay where they are.
 
-    ``df`` may not have another column of the name ``ids``."""
+    Another column of the name ``ids`` is replaced."""
     return _encoded(df, text, vocabularies, vocabulary, words, sizes=False)
 
 
 def text_sizes(df: DataFrame, text: str, *, vocabularies: str = VOCABULARIES, vocabulary: str = VOCABULARY, words: int = LEXICON_WORDS) -> DataFrame:
-    """``df`` without ``text`` and with ``n_ids``, the number of ids of each text, 0 for an empty or null one."""
+    """``df`` without ``text`` and with ``n_ids``, the number of ids of each text, 0 for an empty or null one. Another
+    column of the name ``n_ids`` is replaced."""
     return _encoded(df, text, vocabularies, vocabulary, words, sizes=True)
 
 
 def _encoded(df: DataFrame, text: str, vocabularies: str, vocabulary: str, words: int, *, sizes: bool) -> DataFrame:
     names = publish_lexicon(df.select(F.col(text).alias("text")), vocabularies, vocabulary, words)
-    kept = [c for c in df.columns if c != text]
     result = T.StructField("n_ids", T.LongType()) if sizes else T.StructField("ids", T.ArrayType(T.IntegerType()))
-    if result.name in kept:
-        raise ValueError(f"the column {result.name} is there already")
+    kept = [c for c in df.columns if c not in (text, result.name)]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(*names)
