@@ -54,6 +54,14 @@ def calls(df: DataFrame, key: Sequence[str], text: str, names: Sequence[str]) ->
     return found.select(*key, F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("name"), (F.col("at") + 1).alias("linenumber"))
 
 
+def word_list(df: DataFrame, column: str) -> list[str]:
+    """The distinct values of a column as words to search for, counted first."""
+    own = df.select(column).where(F.col(column).isNotNull()).distinct()
+    if (n := own.count()) > WORDS:
+        raise ValueError(f"{n} words; at most {WORDS} are supported")
+    return [r[0] for r in own.collect()]
+
+
 def containing(df: DataFrame, key: str, text: str, words: Sequence[str]) -> DataFrame:
     """(key, word): the words that occur anywhere in a text. All words are searched in one pass over each text."""
     own = sorted({w for w in words if w})

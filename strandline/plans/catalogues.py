@@ -208,8 +208,7 @@ def code_smells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def login_search(spark: SparkSession, d: str) -> DataFrame:
-    words = [r[0] for r in table(spark, d, "canonical_package").select("package").distinct().limit(U.WORDS + 1).collect()]
-    found = U.containing(table(spark, d, "documents"), "doc_id", "text", words)
+    found = U.containing(table(spark, d, "documents"), "doc_id", "text", U.word_list(table(spark, d, "canonical_package"), "package"))
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
 
 
