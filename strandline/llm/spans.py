@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from strandline.operators.skew import SALT, fan, hot_keys, replicated, salted, workers
 from strandline.session import cut
 
+#: Characters that are hashed at a time.
+CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -86,6 +88,29 @@ def winnowed(hashes: np.ndarray, window: int, ends: np.ndarray, span: int) -> np
     return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
 
 
+def _chosen(points: np.ndarray, ends: np.ndarray, span: int, window: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the winnowed stretches of texts set one behind the other. A single text longer than CHUNK is
+    taken in pieces that overlap by what one window covers, so that every window lies in a piece."""
+    if len(ends) > 1 or len(points) <= CHUNK:
+        h = hasher(points, span)
+        at = winnowed(h, window, ends, span)
+        return at, h[at]
+    covered, places, hashes = window + span - 1, [], []
+    for start in range(0, len(points) - covered + 1, CHUNK):
+        piece = points[start : start + CHUNK + covered - 1]
+        at, h = _chosen_piece(piece, span, window, hasher)
+        places.append(at + start)
+        hashes.append(h)
+    at, first = np.unique(np.concatenate(places), return_index=True)
+    return at, np.concatenate(hashes)[first]
+
+
+def _chosen_piece(points: np.ndarray, span: int, window: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    h = hasher(points, span)
+    at = winnowed(h, window, np.array([len(points)]), span)
+    return at, h[at]
+
+
 def _parts(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``most`` characters; a longer text is alone."""
     at = 0
@@ -113,12 +138,11 @@ def spans(texts: DataFrame, length: int, span: int) -> DataFrame:
                 continue
             own = batch.take(pa.array(new))
             lengths, digests = pc.utf8_length(own.column(1)).to_numpy().astype(np.int64), own.column(0).to_numpy()
-            for lo, hi in _parts(lengths, 1 << 19):
-                h = hasher(code_points("".join(own.column(1)[lo:hi].to_pylist())), span)
+            for lo, hi in _parts(lengths, CHUNK):
                 ends = np.cumsum(lengths[lo:hi])
-                at = winnowed(h, window, ends, span)
+                at, h = _chosen(code_points("".join(own.column(1)[lo:hi].to_pylist())), ends, span, window, hasher)
                 text = np.searchsorted(ends, at, "right")
-                h = h[at].view(np.int64)
+                h = h.view(np.int64)
                 # The first place of each hash in each text, again in the order of the places.
                 order = np.lexsort((at, h, text))
                 first = np.concatenate([[True], (np.diff(text[order]) != 0) | (np.diff(h[order]) != 0)])

@@ -154,6 +154,15 @@ def _common(texts, length):
     return pairs, cover, first
 
 
+def test_long_texts_are_winnowed_in_pieces(monkeypatch):
+    points = np.random.default_rng(1).integers(97, 100, 3000).astype(np.uint32)
+    whole = spans._chosen(points, np.array([3000]), 6, 9, spans.Hasher())
+    for chunk in (1, 7, 100, 2999):
+        monkeypatch.setattr(spans, "CHUNK", chunk)
+        pieces = spans._chosen(points, np.array([3000]), 6, 9, spans.Hasher())
+        assert np.array_equal(whole[0], pieces[0]) and np.array_equal(whole[1], pieces[1])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_common_spans_match_brute_force(spark, seed):
     rng = random.Random(seed)
