@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.knowledge import ALPHA, line_facts
+from strandline.session import cut
 
 CUTOFF, SCORE_CUTOFF, GAIN_CUTOFF = 5, 1e-20, 1.0
 
@@ -27,8 +28,10 @@ def classify(lines: DataFrame, cache: DataFrame) -> DataFrame:
 
     A line of one package is unique; one whose penalised score is used up is not assigned; one whose every file name
     belongs to a single package is no clone; all others are cloned."""
-    facts = line_facts(cache)
-    out = lines.join(facts, ["language", "line"], "left")
+    return _classed(lines.join(line_facts(cache), ["language", "line"], "left"))
+
+
+def _classed(out: DataFrame) -> DataFrame:
     shared = F.length("line") / F.pow(F.lit(ALPHA), F.col("n_filenames") - 1)
     kind = (
         F.when(F.col("ignored"), "ignored")
@@ -56,17 +59,19 @@ def package_scores(classified: DataFrame, cache: DataFrame) -> DataFrame:
     return unique.unionByName(other).groupBy("container", "package").agg(F.sum("u").alias("unique_score"), F.sum("o").alias("nonunique_score"))
 
 
-def greedy_cover(classified: DataFrame, cache: DataFrame, scores: DataFrame, averages: DataFrame, *, gain: float = GAIN_CUTOFF) -> DataFrame:
+def greedy_cover(classified: DataFrame, cache: DataFrame, scores: DataFrame, averages: DataFrame, *, gain: float = GAIN_CUTOFF, gone: DataFrame | None = None) -> DataFrame:
     """(container, package, same_file_score): cloned lines assigned to packages in greedy rounds.
 
     A line goes, for each of its file names, to one of the packages that hold it under this name; only those with the
     greatest unique score stay candidates. In each round the package of the greatest gain gets all its open lines;
     among packages within a tenth of it the one with most average strings wins when there is any unique score, else
     the one with least. Rounds end when the gain falls below ``gain``. Ties go to the lesser name. Only cloned lines
-    reach Python; they are few per container, as lines of many file names have no score left.
+    reach Python; they are few per container, as lines of many file names have no score left. ``gone`` has
+    (container, language, line, filename) that take no part.
     """
     cloned = classified.where("class = 'cloned'").select("container", "language", "line", "n", "score")
     rows = cloned.join(cache, ["language", "line"])
+    rows = rows if gone is None else rows.join(gone, ["container", "language", "line", "filename"], "left_anti")
     rows = rows.join(scores.select("container", "package", "unique_score"), ["container", "package"], "left").join(averages, ["language", "package"], "left")
     rows = rows.select("container", "language", "line", "filename", "package", "n", "score", F.coalesce("unique_score", F.lit(0.0)).alias("u"), F.coalesce("avgstrings", F.lit(0.0)).alias("avg"))
 
@@ -120,6 +125,81 @@ def source_order(identifiers: DataFrame, cache: DataFrame) -> DataFrame:
     return met.select("container", "language", "ordinal", "line", "package").distinct()
 
 
+def _numbered(identifiers: DataFrame, cache: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts, cache and known identifiers with the number of a line (id) in place of its text, which stays in the facts."""
+    facts = cut(line_facts(cache).withColumn("id", F.monotonically_increasing_id()).withColumn("only", F.when(F.col("n_packages") == 1, F.col("package"))))
+    number = facts.select("language", "line", "id")
+    own = identifiers.where(F.length("line") >= max(cutoff, 1)).join(number, ["language", "line"]).select("container", "language", "ordinal", "id")
+    return facts, cut(cache.join(number, ["language", "line"]).select("id", "package", "filename")), cut(own)
+
+
+def _placed(facts: DataFrame, names: DataFrame, own: DataFrame) -> DataFrame:
+    """The shared lines of ``own`` with the rule that places them (way: forward, backward or null), the package they
+    are placed in, the package they waited for (held) and the ordinal of the unique line before them (segment).
+
+    Whether a line has a file name in common with a unique line is found once for each such pair of lines."""
+    by = Window.partitionBy("container", "language")
+    hit = F.last(F.when(F.col("only").isNotNull(), F.struct(F.col("ordinal").alias("o"), F.col("only").alias("p"), F.col("id").alias("l"))), ignorenulls=True)
+    before, after = (hit.over(by.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)) for o in (F.asc("ordinal"), F.desc("ordinal")))
+    own = own.join(facts.select("id", "only"), "id").withColumn("last", before).withColumn("next", after).where("only is null")
+    own = cut(own.select("container", "language", "ordinal", "id", F.col("last.o").alias("segment"), F.col("last.p").alias("held"), F.col("last.l").alias("l1"), F.col("next.p").alias("then"), F.col("next.l").alias("l2")))
+    cases = own.select("id", "held", "l1", "l2").dropna(subset=["held"]).distinct()
+    pairs = cases.select("id", "held", F.explode(F.array("l1", "l2")).alias("l")).dropna().distinct()
+    here = names.withColumnRenamed("package", "held")
+    met = pairs.join(here, ["id", "held"]).join(names.select(F.col("id").alias("l"), "filename"), ["l", "filename"], "left_semi").select("id", "held", "l").distinct()
+    met = cut(met)
+    for k in (1, 2):
+        cases = cases.join(met.select("id", "held", F.col("l").alias(f"l{k}"), F.lit(1).alias(f"met{k}")), ["id", "held", f"l{k}"], "left")
+    cases = cut(cases.join(here.drop("filename").distinct(), ["id", "held"]))
+    same = (own.held == cases.held) & (own.id == cases.id) & (own.l1 == cases.l1) & own.l2.eqNullSafe(cases.l2)
+    own = own.join(cases, same, "left").select(*[own[c] for c in ("container", "language", "ordinal", "id", "segment", "held", "then")], "met1", "met2", cases.id.isNotNull().alias("waits"))
+    waits = F.col("waits") & F.col("met1").isNull()
+    run = Window.partitionBy("container", "language", "segment", waits).orderBy(F.desc("ordinal"))
+    way = F.when(F.col("met1").isNotNull(), "forward").when(waits & (F.min(F.coalesce("met2", F.lit(0))).over(run) == 1), "backward")
+    package = F.when(F.col("way") == "forward", F.col("held")).when(F.col("way") == "backward", F.col("then"))
+    return own.withColumn("way", way).select("container", "language", "ordinal", "id", package.alias("package"), "way", "held", "segment")
+
+
+def direct_matches(identifiers: DataFrame, cache: DataFrame, *, cutoff: int = CUTOFF) -> DataFrame:
+    """(container, language, ordinal, line, package, way): shared lines assigned by the unique lines around them.
+
+    forward is the rule of source_order. A line that the package of the last unique line holds, but under none of the
+    file names of that line, waits (backward): the next unique line goes back over the waiting lines and takes them for
+    its own package as long as they have one of its file names in the package they waited for; the first that has none
+    ends the run, and nothing waits any longer. Lines shorter than ``cutoff`` and unknown lines take no part."""
+    facts, names, own = _numbered(identifiers, cache, cutoff)
+    placed = _placed(facts, names, own).where("way is not null")
+    return placed.join(facts.select("id", "line"), "id").select("container", "language", "ordinal", "line", "package", "way")
+
+
+def source_order_scores(identifiers: DataFrame, cache: DataFrame, averages: DataFrame, *, cutoff: int = CUTOFF) -> DataFrame:
+    """(container, package, unique_score, nonunique_score, direct_score, same_file_score) in source order.
+
+    Every occurrence of a line counts. Those assigned directly give their score to that package alone; the others
+    are no clones or left to the greedy cover, where a line that was taken backwards since its last open occurrence has
+    no part under the file names of the package it waited for. Packages with neither a unique nor a same-file score are left out."""
+    key = ["container", "id"]
+    facts, names, own = _numbered(identifiers, cache, cutoff)
+    placed = cut(_placed(facts, names, own).drop("language", "ordinal"))
+    taken = cut(placed.where("way is not null").groupBy(*key, "package").agg(F.count(F.lit(1)).alias("k")))
+    left = F.col("n") - F.coalesce("n_direct", F.lit(0))
+    lines = own.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(taken.groupBy(*key).agg(F.sum("k").alias("n_direct")), key, "left").withColumn("n", left).where("n > 0").drop("n_direct")
+    classified = cut(_classed(lines.join(facts.drop("only"), "id").withColumn("ignored", F.lit(False))))
+    part = lambda df, u, o, e: df.select("container", "package", *[F.coalesce(x, F.lit(0.0)).alias(c) for x, c in ((u, "u"), (o, "o"), (e, "e"))])
+    none, each = F.lit(None).cast("double"), F.col("n") * F.col("score")
+    unique = part(classified.where("class = 'unique'"), each, none, none)
+    other = part(classified.where("class = 'notclone'").select("container", "id", "n", "score").join(names, "id"), none, each, none)
+    shared = facts.select("id", (F.length("line") / F.pow(F.lit(ALPHA), F.col("n_filenames") - 1)).alias("shared"))
+    direct = part(taken.join(shared, "id"), none, none, F.col("k") * F.col("shared"))
+    scores = unique.unionByName(other).unionByName(direct).groupBy("container", "package").agg(F.sum("u").alias("unique_score"), F.sum("o").alias("nonunique_score"), F.sum("e").alias("direct_score"))
+    scores = cut(scores)
+    newest = placed.where("way is null or way = 'backward'").groupBy(*key).agg(F.max("segment").alias("segment"))
+    gone = placed.where("way = 'backward'").join(newest, [*key, "segment"]).select(*key, F.col("held").alias("package")).distinct()
+    gone = gone.join(names, ["id", "package"]).join(facts.select("id", "language", "line"), "id").select("container", "language", "line", "filename").distinct()
+    cover = greedy_cover(classified, cache, scores, averages, gone=gone)
+    return scores.join(cover, ["container", "package"], "full").fillna(0.0).where("unique_score > 0 or same_file_score > 0")
+
+
 def first_variant(rows: DataFrame, key: Sequence[str], variants: Sequence[Column], known: DataFrame, column: str) -> DataFrame:
     """``rows`` (with the columns ``key``) joined to ``known`` by the first of ``variants`` that it has.
 

@@ -89,6 +89,16 @@ def source_order_matches(spark: SparkSession, d: str) -> DataFrame:
     return M.source_order(ids, cut(_cache(spark, d)))
 
 
+def source_order_direct(spark: SparkSession, d: str) -> DataFrame:
+    return M.direct_matches(B.identifiers(spark, d), cut(_cache(spark, d)))
+
+
+def source_order_rank(spark: SparkSession, d: str) -> DataFrame:
+    scores = M.source_order_scores(B.identifiers(spark, d), cut(_cache(spark, d)), K.average_strings(B.strings(spark, d), B.files(spark, d)))
+    total = F.col("unique_score") + F.col("nonunique_score") + F.col("direct_score") + F.col("same_file_score")
+    return M.rank(scores.select("container", "package", total.alias("score")))
+
+
 def fallback_match(spark: SparkSession, d: str) -> DataFrame:
     lines = B.identifiers(spark, d).where("line is not null").select(F.concat(F.lit("<6>"), F.col("line")).alias("message")).distinct()
     known = B.strings(spark, d).where("line is not null").select(F.col("line").alias("found")).distinct()
@@ -227,7 +237,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        kb_identifier_cache, score_table, avgstrings, alias_rewrite, match_counters, match_classes, unmatched_strings, ignored_strings, string_match_rank, greedy_cover_rank, source_order_matches,
+        kb_identifier_cache, score_table, avgstrings, alias_rewrite, match_counters, match_classes, unmatched_strings, ignored_strings, string_match_rank, greedy_cover_rank, source_order_matches, source_order_direct, source_order_rank,
         fallback_match, class_fallback_match, function_matches, function_semi_match, jar_rollup, version_attribution, version_histogram, version_prune, function_version_counts, license_agreement, license_squash,
     )
 } | {f"{k}_matches": _of_class(k) for k in ("unique", "notclone", "cloned")}

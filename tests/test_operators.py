@@ -55,6 +55,77 @@ def test_source_order(spark, cache):
     assert rows(match.source_order(ids, cache), "ordinal", "package") == [(3, "p"), (4, "p")]
 
 
+IDS, HELD = "container string, language string, ordinal long, line string", "language string, line string, package string, filename string"
+
+
+def test_backward_run_ends_at_the_first_miss(spark):
+    held = [("C", "first p", "p", "a.c"), ("C", "then p", "p", "b.c"), ("C", "miss!", "p", "d.c"), ("C", "miss!", "q", "d.c"), *[("C", x, k, "b.c") for x in ("share1", "share2", "share3") for k in "pq"]]
+    lines = ["share1", "first p", "share1", "miss!", "share2", "nowhere", "share3", "then p", "share1"]
+    ids = spark.createDataFrame([("x", "C", i, line) for i, line in enumerate(lines)], IDS)
+    kb = spark.createDataFrame(held, HELD)
+    assert rows(match.direct_matches(ids, kb), "ordinal", "package", "way") == [(4, "p", "backward"), (6, "p", "backward"), (8, "p", "forward")]
+    # 7 + 6 of unique lines; 3 lines of 6 directly; of the rest (two of share1, one miss!) all go to p, which alone has a unique score.
+    averages = spark.createDataFrame([("C", "p", 3.0), ("C", "q", 9.0)], "language string, package string, avgstrings double")
+    assert rows(match.source_order_scores(ids, kb, averages), "package", "unique_score", "nonunique_score", "direct_score", "same_file_score") == [("p", 13.0, 0.0, 18.0, 17.0)]
+
+
+def _in_order(lines, kb):
+    """Places and scores (but for the greedy cover), line by line."""
+    last, files, log, open_, placed, score = None, set(), [], [], [], {}
+
+    def add(package, k, x):
+        score.setdefault(package, [0.0] * 3)[k] += x
+
+    for i, line in enumerate(lines):
+        here = kb.get(line, {})
+        if len(here) == 1:
+            (last,), (files,) = here, here.values()
+            add(last, 0, len(line))
+            for j, old, old_files, value in reversed(log):
+                if not files & old_files:
+                    break
+                placed.append((j, last, "backward"))
+                add(last, 2, value)
+                for q in open_:
+                    if q[0] == j:
+                        for owner in q[1]:
+                            add(owner, 1, -value)
+            log, open_ = [], []
+        elif here:
+            names = [f for fs in here.values() for f in fs]
+            value = len(line) / 5.0 ** (len(set(names)) - 1)
+            if files & here.get(last, set()):
+                placed.append((i, last, "forward"))
+                add(last, 2, value)
+                continue
+            if last in here:
+                log.append((i, line, here[last], value))
+            if len(names) == len(set(names)):
+                owners = [p for p, fs in here.items() for _ in fs]
+                open_.append((i, owners))
+                for owner in owners:
+                    add(owner, 1, value)
+    return sorted(placed), score
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_source_order_line_by_line(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    kb = {f"line {k:02}": {p: set(r.sample("abcd", r.randint(1, 2))) for p in r.sample("pqr", r.choice([1, 2, 2, 3]))} for k in range(30)}
+    held = spark.createDataFrame([("C", line, p, f) for line, own in kb.items() for p, fs in own.items() for f in fs], HELD)
+    lines = {c: [f"line {r.randrange(34):02}" for _ in range(150)] for c in "xy"}
+    ids = spark.createDataFrame([(c, "C", i, line) for c, own in lines.items() for i, line in enumerate(own)], IDS)
+    got, averages = match.direct_matches(ids, held), spark.createDataFrame([], "language string, package string, avgstrings double")
+    scores = match.source_order_scores(ids, held, averages).collect()
+    for c, own in lines.items():
+        placed, score = _in_order(own, kb)
+        assert rows(got.where(F.col("container") == c), "ordinal", "package", "way") == placed and {"backward", "forward"} == {w for *_, w in placed}
+        for s in (s for s in scores if s.container == c):
+            assert [s.unique_score, s.nonunique_score, s.direct_score] == pytest.approx(score.get(s.package, [0.0] * 3))
+
+
 def test_score_of_many_files(spark):
     many = spark.createDataFrame([("C", "abcde", f"p{i}", f"f{i}") for i in range(60)] + [("C", "xyz", "p", f"f{i}") for i in range(3)], "language string, line string, package string, filename string")
     assert rows(K.score_table(K.line_facts(many)), "line", "packages", "score") == [("abcde", 60, 0.0), ("xyz", 1, 3.0)]
