@@ -95,6 +95,27 @@ def symbol_types(symbols: DataFrame) -> DataFrame:
     return n.select("version", "symbol", F.when(F.col("n") == 1, F.col("one")).when(F.col("n") > 1, "undecided").otherwise("unknown").alias("type"))
 
 
+def narrowed_types(wanted: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(package, version, symbol, type): the type of each wanted symbol (package, version, symbol) as of that version.
+
+    A symbol known with one type in ``symbols`` (key, symbol, type) has it, and one known with none is unknown. Of
+    several types that in the files (key, package, version) of the package in the same version counts, else, where
+    that version lacks the symbol, that in the version before the first '-'; undecided if this is not a single type."""
+    found = symbols.select("key", "symbol", "type").dropna()
+    types = (F.min("type").alias("least"), F.max("type").alias("most"))
+    key = ["package", "version", "symbol"]
+    held = cut(found.join(files.select("key", "package", "version").dropna().distinct(), "key").groupBy(*key).agg(*types))
+    own = cut(wanted.select(*key).distinct().join(held, key, "left"))
+    single = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("undecided")
+    # What the same version holds decides, also for a symbol of one type in all; only the others go on.
+    open_ = own.where("least is null").select(*key, F.when(F.contains("version", F.lit("-")), F.substring_index("version", "-", 1)).alias("before"))
+    every = found.groupBy("symbol").agg(*types).select("symbol", single.alias("every"))
+    base = held.select("package", F.col("version").alias("before"), "symbol", single.alias("base"))
+    open_ = open_.join(every, "symbol", "left").join(base, ["package", "before", "symbol"], "left")
+    kind = F.when(F.col("every").isNull(), "unknown").when(F.col("every") != "undecided", F.col("every")).otherwise(F.coalesce("base", F.lit("undecided")))
+    return own.where("least is not null").select(*key, single.alias("type")).unionByName(open_.select(*key, kind.alias("type")))
+
+
 def licence_conflicts(edges: DataFrame, licences: DataFrame, symbol_type: str = "gplkernelsymbol") -> DataFrame:
     """Edges (src, dst, type) over symbols for GPL modules only, from modules none of whose licences (file, licence)
     is a GPL."""

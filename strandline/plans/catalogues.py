@@ -296,6 +296,13 @@ def symbol_types(spark: SparkSession, d: str) -> DataFrame:
     return G.symbol_types(f.select(F.substring("name", 1, 4).alias("version"), F.col("name").alias("symbol"), F.col("language").alias("type")))
 
 
+def symbol_types_narrowed(spark: SparkSession, d: str) -> DataFrame:
+    """The names of functions in the files of each version of a package, with the languages as types."""
+    s = B.functions(spark, d).where("name is not null").select("key", F.col("name").alias("symbol"), F.col("language").alias("type"))
+    f = B.files(spark, d).select("key", "package", "version").dropna().distinct()
+    return G.narrowed_types(s.join(f, "key"), s, f)
+
+
 def match_statistics(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_classes(spark, d).groupBy("class").agg(F.sum("n").alias("n"))
 
@@ -408,6 +415,6 @@ QUERIES = {
         duplicate_groups, dedup_first, tag_gate, prune_tags, file_hashes, file_crc32, path_parts, path_without_root, path_ancestors, range_exclusion, range_next, carve_gaps, clone_containment, package_hash_counts,
         third_party, known_files, not_in_kb, hash_xref, tree_comparison, file2package, rename_merge, duplicate_archives, new_contents, version_order, first_version, archive_names, copyright_lines, shell_invocations,
         urls, url_hosts, emails, forge_markers, license_markers, code_smells, login_search, lcp_provider, equivalent_modules, dependency_closure, edge_types, library_resolution, symbol_resolution, library_use,
-        symbol_types, match_statistics, score_share_others, version_squash, json_report, file_tags, file_strings, marker_offsets, fuzzy_nearest,
+        symbol_types, symbol_types_narrowed, match_statistics, score_share_others, version_squash, json_report, file_tags, file_strings, marker_offsets, fuzzy_nearest,
     )
 }

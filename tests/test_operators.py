@@ -197,6 +197,15 @@ def test_append_and_replace(spark, tmp_path):
     assert rows(sinks.with_hashes(spark.createDataFrame([("s",), ("t",)], "checksum string"), conversion, "md5")) == [("m",), ("t",)]
 
 
+def test_types_are_narrowed_by_version(spark):
+    symbols = spark.createDataFrame([("1", "s", "gpl"), ("2", "s", "free"), ("3", "s", "gpl"), ("3", "s", "free"), ("4", "one", "gpl"), ("9", "s", "free"), ("5", "none", None)], "key string, symbol string, type string")
+    files = spark.createDataFrame([("1", "p", "2.6"), ("2", "p", "2.6-x"), ("3", "p", "2.6-y"), ("4", "q", "1"), ("9", "q", "7")], "key string, package string, version string")
+    wanted = [("2.6", "s"), ("2.6-x", "s"), ("2.6-y", "s"), ("2.6-z-1", "s"), ("7", "s"), ("7-1", "s"), ("5", "one"), ("5", "none"), ("5", "other")]
+    got = graph.narrowed_types(spark.createDataFrame([("p", v, s) for v, s in wanted], "package string, version string, symbol string"), symbols, files)
+    # 7 is a version of another package only; 2.6-y has both types, so 2.6 is not asked.
+    assert {(r.version, r.symbol): r.type for r in got.collect()} == dict(zip(wanted, ["gpl", "free", "undecided", "gpl", "undecided", "undecided", "gpl", "unknown", "unknown"]))
+
+
 def test_closure_of_a_circle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "x")], "src string, dst string")
     got = {(s, d): n for s, d, n in rows(graph.closure(edges))}
