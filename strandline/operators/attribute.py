@@ -19,6 +19,20 @@ def versions_of(matches: DataFrame, facts: DataFrame, files: DataFrame) -> DataF
     return m.join(f, ["language", "line"]).join(v, ["key", "package"]).select("container", "package", "line", "version").distinct()
 
 
+def licences_of(files: DataFrame, licences: DataFrame) -> DataFrame:
+    """(key, licence, scanner), distinct: what each scanner says of the files (key). ``licences`` has key, licence and scanner."""
+    own = licences.select("key", "licence", "scanner").where("key is not null and licence is not null").distinct()
+    return own.join(files.select("key").distinct(), "key", "left_semi")
+
+
+def copyrights_of(files: DataFrame, copyrights: DataFrame) -> DataFrame:
+    """(key, copyright, type), distinct, of the files (key), without those of type statement.
+
+    ``copyrights`` has key, copyright and type; a null type is no statement."""
+    own = copyrights.select("key", "copyright", "type").where("key is not null and copyright is not null and not type <=> 'statement'").distinct()
+    return own.join(files.select("key").distinct(), "key", "left_semi")
+
+
 def version_histogram(versions: DataFrame) -> DataFrame:
     """(container, package, version, n_lines, place): distinct lines of each version, most first, then by version."""
     counts = versions.groupBy("container", "package", "version").agg(F.count(F.lit(1)).alias("n_lines"))

@@ -197,6 +197,15 @@ def test_append_and_replace(spark, tmp_path):
     assert rows(sinks.with_hashes(spark.createDataFrame([("s",), ("t",)], "checksum string"), conversion, "md5")) == [("m",), ("t",)]
 
 
+def test_licences_and_copyrights_of_files(spark):
+    own = spark.createDataFrame([("1",), ("1",), ("2",), (None,)], "key string")
+    licences = spark.createDataFrame([("1", "MIT", "a"), ("1", "MIT", "a"), ("1", "MIT", "b"), ("2", None, "a"), ("3", "BSD", "a"), (None, "BSD", "a")], "key string, licence string, scanner string")
+    assert rows(attribute.licences_of(own, licences)) == [("1", "MIT", "a"), ("1", "MIT", "b")]
+    held = [("1", "(c) x", "statement"), ("1", "x@y", "email"), ("2", "x@y", "email"), ("2", "x@y", "email"), ("2", "z", None), ("3", "u", "url")]
+    got = rows(attribute.copyrights_of(own, spark.createDataFrame(held, "key string, copyright string, type string")).fillna("-"))
+    assert got == [("1", "x@y", "email"), ("2", "x@y", "email"), ("2", "z", "-")]
+
+
 def test_types_are_narrowed_by_version(spark):
     symbols = spark.createDataFrame([("1", "s", "gpl"), ("2", "s", "free"), ("3", "s", "gpl"), ("3", "s", "free"), ("4", "one", "gpl"), ("9", "s", "free"), ("5", "none", None)], "key string, symbol string, type string")
     files = spark.createDataFrame([("1", "p", "2.6"), ("2", "p", "2.6-x"), ("3", "p", "2.6-y"), ("4", "q", "1"), ("9", "q", "7")], "key string, package string, version string")
