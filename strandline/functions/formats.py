@@ -200,7 +200,7 @@ def tags_of(name: str, content: bytes | None) -> list[str]:
 
 # --- decoders -------------------------------------------------------------------------------------------------------
 
-Found = tuple[int, list[tuple[str, bytes]]] | None
+Found = tuple[int, list[tuple[str, bytes | None]]] | None
 
 
 def _inflating(new: Callable[[], object], name: str) -> Callable[[bytes, int], Found]:
@@ -259,7 +259,7 @@ def _zip(c: bytes, at: int) -> Found:
     end = stop + 22 + struct.unpack_from("<H", c, stop + 20)[0]
     try:
         with zipfile.ZipFile(io.BytesIO(c[at:end])) as z:
-            return end, [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and not i.flag_bits & 1 and i.file_size <= LARGEST]
+            return end, [(i.filename, z.read(i) if i.file_size <= LARGEST else None) for i in z.infolist() if not i.is_dir() and not i.flag_bits & 1]
     except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, OSError, EOFError, ValueError):
         return None
 
@@ -544,7 +544,7 @@ DECODERS: dict[str, Callable[[bytes, int], Found]] = {
 }
 
 
-def unpack(content: bytes) -> list[tuple[str, int, int, list[tuple[str, bytes]]]]:
+def unpack(content: bytes) -> list[tuple[str, int, int, list[tuple[str, bytes | None]]]]:
     """(format, from, to, files) of what a content holds, signatures at its start first. A place inside a stretch
     that was claimed already is passed over, and a whole copy of the content itself is no contained file."""
     places = sorted(((at - CORRECTIONS.get(n, 0), n, at) for n, at in offsets(content, tuple(DECODERS)) if at >= CORRECTIONS.get(n, 0)), key=lambda x: (x[0] != 0, x[0], x[1]))

@@ -45,7 +45,7 @@ def marker_offsets(files: DataFrame) -> DataFrame:
 
 def unpacked(files: DataFrame) -> DataFrame:
     """(parent, format, lo, hi, path, content) of the files inside each file; formats without a decoder here come out
-    as found places with a null path and content."""
+    as found places with a null path and content, and entries of zip files that are too large with a null content."""
 
     def rows_of(key: str, path: str, content: bytes):
         own = content or b""
@@ -63,24 +63,28 @@ def unpacked(files: DataFrame) -> DataFrame:
     return _mapped(files, ["key", "path", "content"], "parent string, format string, lo long, hi long, path string, content binary", rows_of)
 
 
-def unpacked_all(files: DataFrame, *, depth: int = 8) -> tuple[DataFrame, DataFrame]:
+def unpacked_all(files: DataFrame, *, depth: int = 64) -> tuple[DataFrame, DataFrame]:
     """(files: key, path, content, level; edges: parent, child, format, lo, hi, path) of a collection and all that is
     inside, level by level until nothing new comes out.
 
-    A content that was met already, at any level, is not unpacked again; each level is cut from its lineage."""
+    A content that was met already, at any level, is not unpacked again; each level is cut from its lineage. New
+    contents below ``depth`` levels are an error."""
     key = F.sha2("content", 256)
     newest = cut(files.where("content is not null").groupBy(key.alias("key")).agg(F.min("path").alias("path"), F.first("content").alias("content")).withColumn("level", F.lit(0)))
     every, edges = newest, None
-    for level in range(1, depth + 1):
+    level = 0
+    while True:
+        level += 1
         inner = cut(unpacked(newest.where("length(content) > 0")).withColumn("child", key))
         step = inner.select("parent", "child", "format", "lo", "hi", "path")
         edges = step if edges is None else edges.unionByName(step)
         fresh = inner.where("content is not null").groupBy(F.col("child").alias("key")).agg(F.min("path").alias("path"), F.first("content").alias("content"))
         newest = cut(fresh.join(every.select("key"), "key", "left_anti").withColumn("level", F.lit(level)))
         if newest.isEmpty():
-            break
+            return every, edges
+        if level > depth:
+            raise ValueError(f"there are new contents below {depth} levels")
         every = every.unionByName(newest)
-    return every, edges
 
 
 def strings_of(files: DataFrame) -> DataFrame:

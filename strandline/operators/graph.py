@@ -11,41 +11,48 @@ from strandline.functions.text import common_prefix
 from strandline.session import cut
 
 
-def closure(edges: DataFrame, *, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, *, most: int | None = None) -> DataFrame:
     """(src, dst, depth): all nodes that can be reached over one or more edges (src, dst), with the least depth.
 
     Each round joins the newest pairs with the edges and keeps those not met before, so circles end by themselves;
-    each round's pairs are cut from their lineage. ``most`` rounds bound the depth."""
+    each round's pairs are cut from their lineage. Rounds end when nothing new comes; with ``most``, pairs beyond that
+    depth are an error."""
     base = cut(edges.select("src", "dst").dropna().distinct())
     found = base.withColumn("depth", F.lit(1))
     newest, depth = found, 1
-    while depth < most:
+    while True:
         depth += 1
         step = newest.select("src", F.col("dst").alias("mid")).join(base.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct()
         newest = cut(step.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if newest.isEmpty():
-            break
+            return found
+        if most is not None and depth > most:
+            raise ValueError(f"there are pairs at a distance above {most}")
         found = found.unionByName(newest)
-    return found
+        found = found if depth % 16 else cut(found)
 
 
-def typed_closure(edges: DataFrame, *, most: int = 64) -> DataFrame:
+def typed_closure(edges: DataFrame, *, most: int | None = None) -> DataFrame:
     """(src, dst, kind, n): for each start, how many edges of each kind (src, dst, kind) lie on what it reaches."""
     reach = closure(edges, most=most).select(F.col("src").alias("start"), F.col("dst").alias("src")).unionByName(edges.select(F.col("src").alias("start"), "src").distinct()).distinct()
     return reach.join(edges.distinct(), "src").groupBy(F.col("start").alias("src"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def resolved_links(links: DataFrame, *, most: int = 32) -> DataFrame:
-    """(path, target): where a chain of links (path, target) ends; links that run in a circle are left out."""
+def resolved_links(links: DataFrame) -> DataFrame:
+    """(path, target): where a chain of links (path, target) ends; links that run in a circle are left out.
+
+    Each round doubles the steps taken, until all chains have ended or the steps are as many as there are links."""
     own = cut(links.select("path", "target").dropna().distinct())
-    hop = own.select(F.col("path").alias("target"), F.col("target").alias("then"))
-    for _ in range(most):
-        step = own.join(hop, "target", "left").select("path", F.coalesce("then", "target").alias("target"), F.col("then").isNotNull().alias("moved"))
+    paths, steps, n = own.select(F.col("path").alias("target")).distinct(), 1, own.count()
+    while steps < n:
+        steps *= 2
+        hop = own.select(F.col("path").alias("target"), F.col("target").alias("then"))
+        step = own.join(hop, "target", "left").groupBy("path", F.coalesce("then", "target").alias("target")).agg(F.max(F.col("then").isNotNull()).alias("moved"))
         step = cut(step)
         own = step.drop("moved")
         if step.where("moved").isEmpty():
             break
-    return own.join(hop.select("target"), "target", "left_anti").select("path", "target")
+    return own.join(paths, "target", "left_anti").select("path", "target")
 
 
 def library_files(needed: DataFrame, files: DataFrame, links: DataFrame, sonames: DataFrame) -> DataFrame:

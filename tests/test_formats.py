@@ -172,6 +172,21 @@ def test_recursive_unpacking(spark):
     assert {(r.format) for r in edges.collect()} >= {"zip", "tar1", "gzip"}
 
 
+def test_deep_contents_and_large_entries(spark, monkeypatch):
+    import pytest
+
+    deep = TEXT
+    for i in range(10):
+        deep = zip_of({f"{i}.zip": deep})
+    df = spark.createDataFrame([("k", "deep.zip", deep)], "key string, path string, content binary")
+    assert {r.key: r.level for r in V.unpacked_all(df)[0].collect()}[V.digest(TEXT)] == 10
+    with pytest.raises(ValueError, match="below 2"):
+        V.unpacked_all(df, depth=2)
+    monkeypatch.setattr(V.B, "LARGEST", 10)
+    ((_, _, _, inner),) = [x for x in V.B.unpack(zip_of({"large": b"x" * 11, "small": b"x"})) if x[0] == "zip"]
+    assert dict(inner) == {"large": None, "small": b"x"}
+
+
 def test_extractors_over_tables(spark):
     rows = [("e", "a.ko", elf_of()), ("j", "B.class", class_of()), ("t", "t.txt", b"short\x00longer line\x01"), ("z", "z", None), ("s", "s", b"\x00hsqs\x00")]
     df = spark.createDataFrame(rows, "key string, path string, content binary")

@@ -223,6 +223,17 @@ def test_closure_of_a_circle(spark):
     assert rows(graph.resolved_links(links)) == [("l", "file"), ("m", "file"), ("n", "file")]
 
 
+def test_long_chains_are_whole(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(66)]
+    got = graph.closure(spark.createDataFrame(chain, "src string, dst string")).where("src = 'n0'")
+    assert got.agg(F.max("depth"), F.count(F.lit(1))).first()[:] == (66, 66)
+    with pytest.raises(ValueError, match="above 2"):
+        graph.closure(spark.createDataFrame(chain[:3], "src string, dst string"), most=2)
+    assert graph.closure(spark.createDataFrame(chain[:2], "src string, dst string"), most=2).count() == 3
+    links = graph.resolved_links(spark.createDataFrame([*chain, ("o", "p"), ("p", "o"), ("q", "o")], "path string, target string"))
+    assert rows(links) == sorted((f"n{i}", "n66") for i in range(66))
+
+
 def test_symbol_passes(spark):
     undefined = spark.createDataFrame([("f", "s", "func", False), ("f", "w", "func", True), ("f", "none", "func", False)], "file string, symbol string, kind string, weak boolean")
     defined = spark.createDataFrame([("l1", "s", "func", True), ("l2", "s", "func", False), ("l1", "w", "func", True), ("l3", "s", "func", False)], "library string, symbol string, kind string, weak boolean")
