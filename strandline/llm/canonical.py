@@ -166,29 +166,34 @@ class Matcher:
                     self._exact.setdefault(form, e)
         self._tree, self._most = BKTree(list(self._exact)), most
 
-    def best(self, name: str) -> tuple[int, int, int, str] | None:
-        """(distance, distance with swaps, place of the form, entry); the least is the best."""
+    def best(self, name: str) -> tuple[int, int, int, bool, str] | None:
+        """(distance, distance with swaps, place of the form, whether the entry is not in folded spelling, entry); the
+        least is the best."""
         own, found = forms(name), None
         for k, form in enumerate(own):
             if form in self._exact:
-                return 0, 0, k, self._exact[form]
+                return 0, 0, k, *self._ranked(form)
         for k, form in enumerate(own):
             for d, held in self._tree.within(form, radius_of(form, self._most)):
                 if found is None or d <= found[0]:
-                    new = d, transposed_distance(form, held), k, self._exact[held]
+                    new = d, transposed_distance(form, held), k, *self._ranked(held)
                     found = new if found is None else min(found, new)
         return found
 
+    def _ranked(self, form: str) -> tuple[bool, str]:
+        entry = self._exact[form]
+        return fold(entry) != entry, entry
 
-_MATCH = "name string, distance int, swaps int, form int, entry string"
+
+_MATCH = "name string, distance int, swaps int, form int, unfolded boolean, entry string"
 
 
 def match_names(names: DataFrame, entries: DataFrame, *, most: int = 2, whole: int = WHOLE_ENTRIES, shard: int = SHARD_ENTRIES) -> DataFrame:
     """(name, entry, distance): the best entry of each distinct non-null ``name``, entry null where there is none.
 
     ``entries`` has the string column entry. A name equals an entry when one of its forms does (see ``forms``); else
-    the entry within ``most`` edits wins: by distance, then by distance with swaps, then by the fullest form, then by
-    the entry itself. Empty names have no entry; null entries and repeated entries have no influence; without
+    the entry within ``most`` edits wins: by distance, then by distance with swaps, then by the fullest form, then an
+    entry in folded spelling before others, then by the entry itself. Empty names have no entry; null entries and repeated entries have no influence; without
     entries no name has one.
     """
     distinct = names.select("name").where("name is not null").distinct()
@@ -214,15 +219,15 @@ def match_names(names: DataFrame, entries: DataFrame, *, most: int = 2, whole: i
 
         found = asked.groupBy("shard", "salt").cogroup(kept.groupBy("shard", "salt")).applyInPandas(meet, _MATCH)
     # An exact form beats every nearer-looking other, and a fuller exact form a barer one.
-    order = F.struct("distance", "swaps", "form", "entry")
+    order = F.struct("distance", "swaps", "form", "unfolded", "entry")
     best = found.where("entry is not null").groupBy("name").agg(F.min(order).alias("best"))
     return distinct.join(best, "name", "left").select("name", F.col("best.entry").alias("entry"), F.col("best.distance").alias("distance"))
 
 
 def _matched(names: pd.Series, matcher: Matcher) -> pd.DataFrame:
-    rows = [(n, *(b if (b := matcher.best(n)) else (None, None, None, None))) for n in names]
-    out = pd.DataFrame(rows, columns=["name", "distance", "swaps", "form", "entry"])
-    return out.astype({"distance": "Int32", "swaps": "Int32", "form": "Int32"})
+    rows = [(n, *(b if (b := matcher.best(n)) else (None,) * 5)) for n in names]
+    out = pd.DataFrame(rows, columns=["name", "distance", "swaps", "form", "unfolded", "entry"])
+    return out.astype({"distance": "Int32", "swaps": "Int32", "form": "Int32", "unfolded": "boolean"})
 
 
 def map_names(values: DataFrame, name: str, reference: DataFrame, renames: DataFrame, *, most: int = 2) -> DataFrame:

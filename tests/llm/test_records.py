@@ -74,6 +74,12 @@ def test_shards_agree_with_the_whole(spark, monkeypatch):
     assert one == many and one["zzzzzzzz"] == (None, None)
 
 
+def test_shards_prefer_the_folded_spelling(spark):
+    n, e = spark.createDataFrame([("FOO",), ("bazaas",)], "name string"), spark.createDataFrame([(x,) for x in ("Foo", "foo", "Bazaar", "bazaat")], "entry string")
+    for k in ({}, {"whole": 1, "shard": 1}):
+        assert {r["name"]: (r.entry, r.distance) for r in match_names(n, e, **k).collect()} == {"FOO": ("foo", 0), "bazaas": ("bazaat", 1)}
+
+
 def test_names_of_empty_tables(spark, reference):
     r = spark.createDataFrame([], "row_id long, old string, new string")
     v = spark.createDataFrame([("png",)], "name string")
