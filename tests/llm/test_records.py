@@ -145,6 +145,17 @@ def test_names_in_heads():
 CODE = "static int {0}_buffer(struct queue *p, int {1})\n{{\n\tif (!{1}->cache)\n\t\treturn -3;\n\tread_{0}(&p->window, {1});\n\t/* {0} must come first */\n}}\n"
 
 
+def test_limits_are_of_all_held_out_heads(spark):
+    from strandline.llm import handwritten
+
+    text = lambda i, k: "\n".join(f"int {w}_{k}{i} = read_{w}(value);" for w in ("alpha", "buffer", "cursor", "record"))
+    heads = [(f"{x}{i}", x, text(i, k)) for x, k, n in (("c", "of", 400), ("ruby", "in", 200)) for i in range(n)]
+    df = spark.createDataFrame(heads, "key string, language string, head string")
+    some, every = handwritten.fit(df, most=30), handwritten.fit(df)
+    # The density does not depend on the models.
+    assert set(some.poor) == {"", "c", "ruby"} and some.poor == pytest.approx(every.poor)
+
+
 def test_files_of_other_hands(spark):
     rng = random.Random(9)
     verbs, nouns = ["load", "store", "merge", "split", "probe"], ["node", "table", "entry", "volume", "sector"]
