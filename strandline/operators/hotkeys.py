@@ -71,15 +71,16 @@ def key_profile(df: DataFrame, key: str, record: str, at: str, *, middle: Sequen
     Result: key, n_rows, n_records, first_at, and ``at_<percent>`` for each fraction of ``middle``. Rows with a null
     key take no part; null records and null times count as rows but are neither records nor times. Empty keys are
     ordinary keys. Distinct records are counted in two steps, first by key and record, then by key, so the rows of
-    a hot key are spread by its records and arrive pre-aggregated.
+    a hot key are spread by its records and arrive pre-aggregated. Rows are those counted by the ranks and those
+    without a time.
     """
     own = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(record).alias("r"), F.expr(f"unix_micros(cast(`{at}` as timestamp))").alias("t"))
-    pairs = own.groupBy("k", "r").agg(F.count(F.lit(1)).alias("c"))
-    sums = pairs.groupBy("k").agg(F.sum("c").alias("n_rows"), F.count("r").alias("n_records"))
+    pairs = own.groupBy("k", "r").agg(F.count_if(F.col("t").isNull()).alias("c"))
+    sums = pairs.groupBy("k").agg(F.sum("c").alias("timeless"), F.count("r").alias("n_records"))
     stamp = lambda c: F.timestamp_micros(c).cast(dict(df.dtypes)[at])
     names = {0.0: "first_at"} | {float(f): f"at_{round(100 * f)}" for f in middle}
-    wide = ranks(own, "k", "t", list(names), buckets=buckets).groupBy("k").agg(*[F.max(F.when(F.col("f") == f, stamp(F.col("t")))).alias(n) for f, n in names.items()])
-    return sums.join(wide, "k", "left").select(F.col("k").alias(key), "n_rows", "n_records", *names.values())
+    wide = ranks(own, "k", "t", list(names), buckets=buckets).groupBy("k").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("f") == f, stamp(F.col("t")))).alias(n) for f, n in names.items()])
+    return sums.join(wide, "k", "left").select(F.col("k").alias(key), (F.coalesce("n", F.lit(0)) + F.col("timeless")).alias("n_rows"), "n_records", *names.values())
 
 
 def heavy_keys(profile: DataFrame, key: str, rows: int, one_in: int) -> DataFrame:

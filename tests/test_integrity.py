@@ -109,3 +109,12 @@ def test_hot_keys(spark):
     df = spark.createDataFrame([("h",)] * 900 + [(str(i),) for i in range(1000)] + [(None,)] * 5000, "k string")
     assert hot_keys(df, "k") == ["h"]
     assert hot_keys(df.limit(0), "k") == []
+
+
+def test_rows_are_those_of_the_ranks_and_those_without_a_time(spark, monkeypatch):
+    from strandline.operators import hotkeys
+
+    df = spark.sql("SELECT * FROM VALUES ('a', 1, timestamp'2024-01-01'), ('a', 2, null), ('a', null, timestamp'2024-01-02'), ('b', 1, null) AS t(k, r, t)")
+    assert {x.k: x.n_rows for x in key_profile(df, "k", "r", "t").collect()} == {"a": 3, "b": 1}
+    monkeypatch.setattr(hotkeys, "ranks", lambda *a, **k: ranks(*a, **k).withColumn("n", F.col("n") + 10))
+    assert {x.k: x.n_rows for x in key_profile(df, "k", "r", "t").collect()} == {"a": 13, "b": 1}
