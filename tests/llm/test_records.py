@@ -130,6 +130,28 @@ def test_garbled_text_of_empty_tables(spark):
     assert garbled_rows(df.withColumn("chain", F.lit(1)), "v").columns == ["row_id", "v", "restored", "chain"]
 
 
+def test_right_texts_beside_many_damaged_ones(spark):
+    """Damaged copies of one pattern in the collection do not make the right texts of the pattern look damaged."""
+    words = [w[:6] for w in _names(3, 240)]
+    right = [f"Datei für {w} nicht gefunden" for w in words]
+    bad = [t.encode("cp1252").decode("cp850") for t in right[:30]] + [t.encode().decode("cp1252") for t in right[30:60]]
+    df = spark.createDataFrame(list(enumerate([*right, *bad])), "row_id long, v string")
+    found = {r.v for r in garbled_rows(df, "v").collect()}
+    assert not found & set(right) and len(found & set(bad)) >= 55
+
+
+def test_line_end_of_c1_is_no_damage(spark):
+    df = spark.createDataFrame([(1, "größe\x85"), (2, "gr\x81"), (3, "größe")], "row_id long, v string")
+    assert {r.row_id for r in garbled_rows(df, "v").collect()} == {2}
+
+
+def test_repeated_damage_is_undone():
+    thrice = "größe"
+    for _ in range(3):
+        thrice = thrice.encode().decode("cp1252")
+    assert "größe" in candidates(thrice)
+
+
 def test_candidates_hold_the_original():
     assert "größe" in candidates("größe".encode().decode("cp1252"))
     assert "größe" in candidates("größe".encode().decode("latin-1").encode().decode("cp1252"))
