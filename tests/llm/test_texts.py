@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandline.llm import mixing, spans
-from strandline.llm.spans import document_pairs, passages, shared_runs, shares
+from strandline.llm.spans import class_links, class_sizes, document_pairs, passages, repeated_sentences, shared_spans, shares
 from strandline.llm.tokenize import PATTERN, VOCABULARIES, VOCABULARY, Splitter, encode_texts, frequent_words, text_sizes
 from strandline.llm.transducer import Transducer, compile_words
 from strandline.sources import table
@@ -163,8 +163,11 @@ def test_long_texts_are_winnowed_in_pieces(monkeypatch):
         assert np.array_equal(whole[0], pieces[0]) and np.array_equal(whole[1], pieces[1])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_common_spans_match_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, wide, hot", [(1, 32, False), (2, 1, False), (3, 2, True)])
+def test_common_spans_match_brute_force(spark, monkeypatch, seed, wide, hot):
+    if hot:
+        # Every repeated span is taken for a hot one.
+        monkeypatch.setattr(spans, "_hot_spans", lambda found: [r.hash for r in found.groupBy("hash").count().where("count > 1").collect()])
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdeé日") for _ in range(rng.randrange(1, 6)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -182,19 +185,55 @@ def test_common_spans_match_brute_force(spark, seed):
         texts[i] = texts[rng.randrange(5)]  # copies
     texts |= {80: "ab" * 200, 81: "ab" * 150, 82: "=" * 300, 83: "-" + "=" * 90, 84: "", 85: "x" * 39}
     df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(86, None)], "doc_id long, text string").withColumn("hash", F.lit(0)).repartition(4)
-    classes, runs = shared_runs(df, length=40, span=24)
-    got = [tuple(r) for r in document_pairs(classes, runs).collect()]
+    classes, members = shared_spans(df, length=40, span=24)
+    k = {"length": 40, "span": 24, "wide": wide}
+    links = class_links(members, **k)
+    got = [tuple(r) for r in document_pairs(classes, links).collect()]
     pairs, cover, first = _common(texts, 40)
     assert len(got) == len(set(got)) and set(got) == pairs
-    rows = {r.doc_id: r for r in shares(passages(classes, runs, df), df).collect()}
+    found = passages(classes, members, df, **k)
+    rows = {r.doc_id: r for r in shares(found, df).collect()}
     assert {i: rows[i].shared_chars for i in texts} == cover and rows[86].shared_chars is None
     assert {i: rows[i].repeated_chars for i in texts} == first
+    of = {i: min(j for j, u in texts.items() if u == t) for i, t in texts.items()}
+    near = {(of[a], of[b]) for a, b in pairs if of[a] != of[b]}
+    for r in class_sizes(classes, links).collect():
+        assert r.class_id == of[r.doc_id] and r.copies == sum(x == r.class_id for x in of.values())
+        assert r.links == len({b for a, b in near if a == r.class_id} | {a for a, b in near if b == r.class_id})
+
+
+def test_repeated_sentences(spark):
+    long = "This sentence stands in both texts and is long. Here is 1.5 of another one! Und noch eine…\nThe last of them all"
+    texts = [(1, f"First words. {long}. The end."), (2, f"Other. {long}, but it goes on here. Nothing else."), (3, None), (4, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    classes, members = shared_spans(df, length=60, span=30)
+    found = repeated_sentences(passages(classes, members, df, length=60, span=30), df)
+    got = [texts[1][1][r["from"] : r["to"]] for r in found.orderBy("from").collect()]
+    assert got == ["This sentence stands in both texts and is long.", "Here is 1.5 of another one!", "Und noch eine…"]
+
+
+def test_a_passage_in_half_of_all_texts(spark):
+    """No part of the work grows with the square of the texts that hold one passage, but for the pairs themselves."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    boiler = text(45)
+    docs = [(i, f"{text(20)} {boiler} {text(20)}" if i % 2 else text(60)) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    classes, members = shared_spans(df)
+    rows = {r.doc_id: r for r in shares(passages(classes, members, df), df).collect()}
+    assert all(rows[i].shared_chars >= len(boiler) if i % 2 else rows[i].shared_chars == 0 for i, _ in docs)
+    assert rows[1].repeated_chars == 0 and rows[3].repeated_chars >= len(boiler)
+    assert class_links(members).count() == 1500 * 1499 // 2
 
 
 def test_spans_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert document_pairs(*shared_runs(none)).count() == 0
-    assert document_pairs(*shared_runs(spark.createDataFrame([(1, None), (2, "")], none.schema))).count() == 0
+    for df in (none, spark.createDataFrame([(1, None), (2, "")], none.schema)):
+        classes, members = shared_spans(df)
+        assert document_pairs(classes, class_links(members)).count() == 0 == class_sizes(classes, class_links(members)).count()
+        found = passages(classes, members, df)
+        assert found.count() == 0 == repeated_sentences(found, df).count() and shares(found, df).count() == df.count()
 
 
 def test_winnowing_keeps_one_of_every_window():
