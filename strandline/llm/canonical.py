@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.skew import SALT, fan, hot_keys, replicated, salted, workers
+from strandline.session import cut
 
 #: Entries of a reference that is sent whole to every worker (a few MB as a tree), and entries of a shard beyond it.
 WHOLE_ENTRIES = SHARD_ENTRIES = 50_000
-#: Distinct old names at most: their chains are followed on the driver.
-RENAMES = 1_000_000
+#: Distinct old names whose chains are followed on the driver; those of more are followed by doubling steps in tables.
+RENAMES = 50_000
 #: Distinct names that meet the tree of one shard in one group.
 GROUP_NAMES = 100_000
 
@@ -185,6 +187,17 @@ class Matcher:
         return fold(entry) != entry, entry
 
 
+_matchers: dict[str, Matcher] = {}
+
+
+def _matcher(token: str, listed, most: int) -> Matcher:
+    """The matcher of a broadcast list, built once by each worker process."""
+    if token not in _matchers:
+        _matchers.clear()
+        _matchers[token] = Matcher(listed.value, most)
+    return _matchers[token]
+
+
 _MATCH = "name string, distance int, swaps int, form int, unfolded boolean, entry string"
 
 
@@ -200,12 +213,11 @@ def match_names(names: DataFrame, entries: DataFrame, *, most: int = 2, whole: i
     held = entries.select("entry").where("entry is not null").distinct()
     n = held.count()
     if n <= whole:
-        listed = [r[0] for r in held.collect()]
+        listed, token = names.sparkSession.sparkContext.broadcast([r[0] for r in held.collect()]), uuid.uuid4().hex
 
         def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(listed, most)
             for frame in frames:
-                yield _matched(frame["name"], matcher)
+                yield _matched(frame["name"], _matcher(token, listed, most))
 
         found = distinct.repartition(workers(names), F.xxhash64("name")).mapInPandas(match, _MATCH)
     else:
@@ -236,14 +248,15 @@ def map_names(values: DataFrame, name: str, reference: DataFrame, renames: DataF
     ``reference`` has entry_id and entry, ``renames`` row_id, old and new. A name that is an old name, in whatever
     spelling, stands for what the new one stands for, to the end of the chain; of several renames of one old name
     that of the least row_id holds; a null new name, or a circle without any entry in it, leads nowhere; a circle
-    through an entry (a name "renamed" to another spelling of itself) ends at it. Null names get a null id. Rows of
+    through an entry (a name "renamed" to another spelling of itself) ends at it: where the chain comes into the circle, else
+    at the entry of the least key on it. Null names get a null id. Rows of
     one name that holds much of the table are spread when the results are joined back. Another column entry_id is
     replaced.
     """
     values = values.drop("entry_id")
     own = reference.where("entry is not null").groupBy("entry").agg(F.min("entry_id").alias("entry_id"))
-    keyed = own.withColumn("k", _key("entry"))
-    links = values.sparkSession.createDataFrame(list(_resolved(keyed, renames, most).items()), "k string, linked long")
+    keyed = cut(own.withColumn("k", _key("entry")))
+    links = _resolved(keyed, renames, most)
     olds = renames.where("old is not null").select(F.col("old").alias("entry"))
     entries = own.select("entry").unionByName(olds).distinct()
     names = values.select(F.col(name).alias("name"))
@@ -258,32 +271,64 @@ def map_names(values: DataFrame, name: str, reference: DataFrame, renames: DataF
     return out.unionByName(values.where(F.col(name).isNull()).withColumn("entry_id", F.lit(None).cast("long")))
 
 
-def _key_of(name: str | None) -> str | None:
-    return None if name is None else (forms(name) or [""])[0]
-
-
 def _key(column: str):
-    """What the spellings of one name have in common."""
-    return F.udf(_key_of, "string", useArrow=True)(column)
+    """What the spellings of one name have in common: its fullest form."""
+    return F.pandas_udf(lambda names: names.map(lambda n: None if n is None else (forms(n) or [""])[0]), "string")(column)
 
 
-def _resolved(keyed: DataFrame, renames: DataFrame, most: int) -> dict[str, int]:
-    """The entry id at the end of the chain of each old name, by the name's key."""
-    rows = renames.where("old is not null").select("row_id", _key("old").alias("k"), "old", "new")
+def _resolved(keyed: DataFrame, renames: DataFrame, most: int, limit: int = RENAMES) -> DataFrame:
+    """(k, linked): the entry id at the end of the chain of each old name, by the name's key; 0 if it leads nowhere."""
+    rows = cut(renames.where("old is not null").select("row_id", _key("old").alias("k"), "old", "new"))
     first = rows.groupBy("k").agg(F.min_by("new", "row_id").alias("new"))
-    if (n := first.count()) > RENAMES:
-        raise ValueError(f"{n} old names; at most {RENAMES} are supported")
     entries = rows.select(F.col("old").alias("entry")).unionByName(keyed.select("entry"))
     to = match_names(first.select(F.col("new").alias("name")), entries, most=most).where("entry is not null")
     to = to.withColumn("at", _key("entry")).select(F.col("name").alias("new"), "at")
-    step = {r["k"]: r["at"] for r in first.join(to, "new", "left").select("k", "at").collect()}
-    ends = F.broadcast(first.sparkSession.createDataFrame([(x,) for x in {*step, *step.values()} - {None}], "k string"))
-    own = {r["k"]: r["id"] for r in keyed.join(ends, "k").groupBy("k").agg(F.min("entry_id").alias("id")).collect()}
-    out = {}
-    for k in step:
-        at, been = k, set()
-        while at in step and at not in been:
-            been.add(at)
-            at = step[at]
-        out[k] = own.get(at, next((own[x] for x in sorted(been) if x in own), 0)) if at in been else own.get(at, 0)
-    return out
+    step = cut(first.join(to, "new", "left").select("k", "at"))
+    ids = keyed.groupBy("k").agg(F.min("entry_id").alias("id"))
+    return _followed(step, ids) if step.count() <= limit else _doubled(step, ids)
+
+
+def _followed(step: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ends of few chains (k, at), on the driver."""
+    to = {r["k"]: r["at"] for r in step.collect()}
+    nodes = ids.sparkSession.createDataFrame([(x,) for x in {*to, *to.values()} - {None}], "k string")
+    own = {r["k"]: r["id"] for r in ids.join(nodes, "k", "left_semi").collect()}
+    out = []
+    for k in to:
+        at, been = k, {}
+        while at in to and at not in been:
+            been[at] = len(been)
+            at = to[at]
+        circle = sorted(x for x, i in been.items() if i >= been[at]) if at in been else []
+        out.append((k, own.get(at) or next((own[x] for x in circle if x in own), 0)))
+    return ids.sparkSession.createDataFrame(out, "k string, linked long")
+
+
+def _doubled(step: DataFrame, ids: DataFrame) -> DataFrame:
+    """The same for any number of chains: every round doubles the steps taken, until all chains have ended or the steps
+    are as many as there are links, when what still goes on goes round in circles."""
+
+    def doubled(own: DataFrame, n: int) -> DataFrame:
+        taken = 1
+        while taken < n:
+            taken *= 2
+            hop = own.select(F.col("k").alias("at"), F.col("at").alias("then"), F.col("least").alias("further"), F.lit(True).alias("on"))
+            own = cut(own.join(hop, "at", "left").select("k", F.when(F.col("on"), F.col("then")).otherwise(F.col("at")).alias("at"), F.least("least", "further").alias("least"), F.coalesce("on", F.lit(False)).alias("on")))
+            if own.where("on").isEmpty():
+                break
+            own = own.drop("on")
+        return own.select("k", "at", "least")
+
+    n = step.count()
+    named = ids.withColumnRenamed("k", "at")
+    links = cut(step.join(ids, "k", "left").select("k", "at", F.when(F.col("id").isNotNull(), F.col("k")).alias("least")))
+    far = cut(doubled(links, n))
+    round_ = far.join(step.select(F.col("k").alias("at")), "at", "left_semi")
+    ended = far.join(step.select(F.col("k").alias("at")), "at", "left_anti").join(named, "at", "left").select("k", "id")
+    circle = cut(round_.select(F.col("at").alias("k")).distinct())
+    # Where each chain comes into its circle: the links of the circles' own nodes are taken away.
+    tails = round_.select("k").join(circle, "k", "left_anti").join(links, "k")
+    into = doubled(cut(tails), n).select("k", "at").unionByName(circle.select("k", F.col("k").alias("at")))
+    least = far.select(F.col("k").alias("at"), "least").join(ids.select(F.col("k").alias("least"), F.col("id").alias("other")), "least").select("at", "other")
+    met = into.join(named, "at", "left").join(least, "at", "left").select("k", F.coalesce("id", "other").alias("id"))
+    return ended.unionByName(met).select("k", F.coalesce("id", F.lit(0)).alias("linked"))

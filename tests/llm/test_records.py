@@ -80,6 +80,19 @@ def test_shards_prefer_the_folded_spelling(spark):
         assert {r["name"]: (r.entry, r.distance) for r in match_names(n, e, **k).collect()} == {"FOO": ("foo", 0), "bazaas": ("bazaat", 1)}
 
 
+def test_chains_by_doubling_agree_with_following(spark):
+    rng = random.Random(7)
+    nodes = [f"n{i:02}" for i in range(60)]
+    chains = [(f"c{i:02}", f"c{i + 1:02}") for i in range(40)] + [("x", None), ("self", "self"), ("y", "x")]
+    for seed in range(3):
+        rng = random.Random(seed)
+        step = {k: rng.choice([*nodes, None]) for k in rng.sample(nodes, 45)} | dict(chains)
+        own = [(k, i + 1) for i, k in enumerate([*rng.sample(nodes, 8), "c40", *["self"][: seed % 2]])]
+        s, ids = spark.createDataFrame(list(step.items()), "k string, at string"), spark.createDataFrame(own, "k string, id long")
+        one, two = ({r.k: r.linked for r in f(s, ids).collect()} for f in (canonical._followed, canonical._doubled))
+        assert one == two and len(one) == len(step) and one["c00"] == dict(own)["c40"] and one["y"] == 0
+
+
 def test_names_of_empty_tables(spark, reference):
     r = spark.createDataFrame([], "row_id long, old string, new string")
     v = spark.createDataFrame([("png",)], "name string")
