@@ -28,11 +28,15 @@ def local_session(name: str = "strandline", cpus: int | None = None, partitions:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local runs) a temporary folder of this machine is made and set.
+    Only where that is unset on a local master (tests, local runs) a temporary folder of this machine is made and set; a
+    cluster without it is refused, as its executors would write where no other can read.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
     return sc.getCheckpointDir()
 
 

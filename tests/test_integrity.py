@@ -51,6 +51,32 @@ def test_hot_composite_keys_are_salted(spark):
     assert {x.id for x in orphans(r, t.where("x != 'hot'"), [("p", "x"), ("q", "y")]).collect()} == set(range(500)) - {450}
 
 
+def test_reasons(spark):
+    refs = [(1, "a", 5), (2, "a", 15), (3, "a", 25), (4, "b", 1), (5, "none", 5), (6, "a", None), (7, "b", 9)]
+    r = spark.createDataFrame([(i, k, at(n), "old") for i, k, n in refs], "id int, k string, t timestamp, why string")
+    targets = [("a", at(10), at(20)), ("a", at(10), at(12)), ("b", at(3), dt.datetime(9999, 12, 31)), ("b", None, None), ("none", at(4), at(4))]
+    t = spark.createDataFrame(targets, "k string, f timestamp, u timestamp")
+    found = orphans(r, t, [("k", "k")], validity=Validity("t", "f", "u"), reason="why")
+    assert sorted(found.columns) == sorted(r.columns)
+    assert {x.id: x.why for x in found.collect()} == {1: "late", 3: "deleted", 4: "late", 5: "missing", 6: "late"}
+    broken = orphans(spark.createDataFrame([(1, "a", None), (2, "a", "c")], "id int, p string, q string"), spark.createDataFrame([("a", "b")], "p string, q string"), [("p", "p"), ("q", "q")], match="full", reason="why")
+    assert {x.id: x.why for x in broken.collect()} == {1: "incomplete", 2: "missing"}
+
+
+def test_a_hot_key_without_target_in_one_month_is_spread(spark):
+    r = spark.range(20_000).select("id", F.when(F.col("id") % 20 == 0, F.col("id").cast("string")).otherwise("hot").alias("k"), F.lit(at(3)).alias("t"))
+    t = spark.createDataFrame([("hot", at(5), at(9)), ("40", at(0), None)], "k string, f timestamp, u timestamp")
+    found = orphans(r, t, [("k", "k")], validity=Validity("t", "f", "u"))
+    sizes = [x.n for x in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 19_999
+    from strandline.operators import skew
+
+    hashed = r.select(F.xxhash64(F.lit(0), "k").alias("h"), "id")
+    hot = hot_keys(hashed, "h")
+    parts = skew.salted(hashed, "h", hot, F.col("id"), 8).where(F.col("h").isin(hot)).groupBy(skew.SALT).count().collect()
+    assert len(hot) == 1 and len(parts) == 8 and max(x["count"] for x in parts) < 2 * 19_000 / 8
+
+
 def test_orphans_of_empty_tables(spark):
     r = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id int, k string")
     none = spark.createDataFrame([], "k string")
