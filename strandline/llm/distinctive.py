@@ -41,9 +41,12 @@ def term_weights(owned: DataFrame, held: DataFrame) -> DataFrame:
     h = salted(h, "file", hot, F.col("term"), parts).repartition("file", SALT).dropDuplicates(["file", SALT, "term"])
     met = h.join(replicated(flagged, "file", hot, parts), ["file", SALT])
     pairs = met.groupBy("term", "owner").agg(F.count(F.lit(1)).alias("n_pair"), F.sum("lead").alias("lead"))
-    # A term has at most one row per owner here.
+    # A term has at most one row per owner here, however many files hold it.
     by = Window.partitionBy("term")
     pairs = pairs.select("term", "owner", "n_pair", F.sum("lead").over(by).alias("n_term"), F.sum("n_pair").over(by).alias("cf"), F.count(F.lit(1)).over(by).alias("owners"))
     d = F.lit(float(max(n_owners, 1)))
     ridf = F.log2(F.lit(1.0) - F.exp(-F.col("cf") / d)) - F.log2(F.col("owners") / d)
-    return pairs.join(sizes, "owner").select("owner", "term", "n_pair", "n_term", "n_owner", F.lit(n_files).cast("long").alias("n_files"), "owners", (F.col("n_pair") * ridf).alias("weight"))
+    # Owners of many files have many terms: their pairs are spread.
+    hot = hot_keys(o, "owner")
+    met = salted(pairs, "owner", hot, F.col("term"), parts).join(replicated(sizes, "owner", hot, parts), ["owner", SALT])
+    return met.select("owner", "term", "n_pair", "n_term", "n_owner", F.lit(n_files).cast("long").alias("n_files"), "owners", (F.col("n_pair") * ridf).alias("weight"))
