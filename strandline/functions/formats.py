@@ -19,7 +19,9 @@ import zipfile
 import zlib
 from collections.abc import Callable
 
-#: Bytes a decoder may produce from one file; what goes beyond is not a valid file for it.
+from strandline.functions.images import IMAGES
+
+#: Bytes of a contained file that a row can hold; a larger one is found and named, with a null content.
 LARGEST = 1 << 30
 
 # Signatures of formats, and where in the format they lie if not at its start.
@@ -34,7 +36,7 @@ SIGNATURES: dict[str, bytes] = {
 }
 CORRECTIONS = {"tar1": 257, "tar2": 257, "iso9660": 32769, "ext2": 0x438, "minix": 0x410, "icc": 36}
 #: Formats that need a decoder of their own, which is not here: they are found and tagged, not unpacked.
-FOUND_ONLY = ("7z", "arj", "cab", "chm", "compress", "cramfs_le", "cramfs_be", "ext2", "installshield", "jffs2_le", "jffs2_be", "lrzip", "lzop", "minix", "msi", "pack200", "rar", "romfs", "rzip", "squashfs1", "squashfs2", "squashfs3", "squashfs4", "ubi", "upx", "mswim", "pe", "iso9660")
+FOUND_ONLY = ("7z", "arj", "chm", "cramfs_be", "installshield", "lrzip", "lzop", "msi", "pack200", "rar", "rzip", "squashfs1", "squashfs3", "squashfs4", "ubi", "upx", "mswim", "pe")
 
 
 def offsets(content: bytes, names: tuple[str, ...] = tuple(SIGNATURES)) -> list[tuple[str, int]]:
@@ -145,6 +147,15 @@ def _der(c: bytes) -> bool:
     return 1 <= n <= 4 and 2 + n + int.from_bytes(c[2 : 2 + n]) == len(c)
 
 
+def _certificate(c: bytes) -> bool:
+    """A text that is one or more certificates in armour, from its first line to its last."""
+    parts = re.findall(rb"-----BEGIN (?:X509 |TRUSTED )?CERTIFICATE-----\r?\n([A-Za-z0-9+/=\r\n]*)-----END (?:X509 |TRUSTED )?CERTIFICATE-----\r?\n", c)
+    try:
+        return bool(parts) and c.startswith(b"-----BEGIN ") and all(base64.b64decode(b"".join(p.split()), validate=True) for p in parts) and c.endswith(b"-----\n")
+    except binascii.Error:
+        return False
+
+
 def elf_header(c: bytes) -> dict | None:
     """Class, byte order, type, machine and section table of an ELF file."""
     if len(c) < 52 or c[:4] != SIGNATURES["elf"] or c[4] not in (1, 2) or c[5] not in (1, 2):
@@ -180,6 +191,7 @@ CHECKS: dict[str, Callable[[str, bytes], bool]] = {
     "wav": lambda n, c: _riff(c, b"WAVE"),
     "webp": lambda n, c: _riff(c, b"WEBP"),
     "vimswap": lambda n, c: n.endswith(".swp") and c[:6] == b"b0VIM ",
+    "certificate": lambda n, c: _certificate(c),
     "mp4": lambda n, c: c[4:8] == b"ftyp" and len(c) >= 8 and struct.unpack_from(">I", c)[0] <= len(c),
 }
 
@@ -203,16 +215,34 @@ def tags_of(name: str, content: bytes | None) -> list[str]:
 Found = tuple[int, list[tuple[str, bytes | None]]] | None
 
 
+def _inflated(d, c: bytes, at: int) -> tuple[int, bytes | None] | None:
+    """(end, content) of a stream from ``at`` on; the content is null beyond LARGEST, where only its end is looked for."""
+    view, out, size = memoryview(c)[at:], [], 0
+    step, waiting = 1 << 20, b""
+    errors = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
+    p = 0
+    try:
+        while not d.eof:
+            if not waiting and p >= len(view) and getattr(d, "needs_input", True):
+                return None
+            data = waiting or bytes(view[p : p + step])
+            p += 0 if waiting else len(data)
+            plain = d.decompress(data, LARGEST + 1)
+            waiting = getattr(d, "unconsumed_tail", b"")
+            size += len(plain)
+            if size <= LARGEST:
+                out.append(plain)
+            else:
+                out = []
+    except errors:
+        return None
+    return at + p - len(d.unused_data), b"".join(out) if size <= LARGEST else None
+
+
 def _inflating(new: Callable[[], object], name: str) -> Callable[[bytes, int], Found]:
     def decode(c: bytes, at: int) -> Found:
-        d = new()
-        try:
-            out = d.decompress(c[at:], LARGEST)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            return None
-        if not d.eof:
-            return None
-        return len(c) - len(d.unused_data), [(name, out)]
+        found = _inflated(new(), c, at)
+        return found and (found[0], [(name, found[1])])
 
     return decode
 
@@ -358,14 +388,10 @@ def _xar(c: bytes, at: int) -> Found:
 
 
 def _swf(c: bytes, at: int) -> Found:
-    d = zlib.decompressobj()
-    try:
-        out = d.decompress(c[at + 8 :], LARGEST)
-    except zlib.error:
+    found = _inflated(zlib.decompressobj(), c, at + 8)
+    if found is None or found[1] is not None and len(found[1]) + 8 != struct.unpack_from("<I", c, at + 4)[0]:
         return None
-    if not d.eof or len(out) + 8 != struct.unpack_from("<I", c, at + 4)[0]:
-        return None
-    return len(c) - len(d.unused_data), [("swf", b"FWS" + c[at + 3 : at + 8] + out)]
+    return found[0], [("swf", found[1] and b"FWS" + c[at + 3 : at + 8] + found[1])]
 
 
 def _sparse(c: bytes, at: int) -> Found:
@@ -399,11 +425,8 @@ def _backup(c: bytes, at: int) -> Found:
     start = at + sum(len(x) + 1 for x in lines[:4])
     if lines[2] == b"0":
         return len(c), [("backup.tar", c[start:])]
-    d = zlib.decompressobj()
-    try:
-        return (len(c) - len(d.unused_data), [("backup.tar", out)]) if (out := d.decompress(c[start:], LARGEST)) and d.eof else None
-    except zlib.error:
-        return None
+    found = _inflated(zlib.decompressobj(), c, start)
+    return found and (found[0], [("backup.tar", found[1])])
 
 
 def _png(c: bytes, at: int) -> Found:
@@ -510,6 +533,54 @@ def _plf(c: bytes, at: int) -> Found:
     return (min(p, len(c)), out) if out else None
 
 
+def _ico_size(c: bytes, at: int) -> int | None:
+    zero, kind, n = struct.unpack_from("<HHH", c, at)
+    if zero or kind != 1 or not 0 < n <= 64:
+        return None
+    entries = [struct.unpack_from("<BBBBHHII", c, at + 6 + 16 * i) for i in range(n)]
+    if any(e[3] or e[4] > 1 or e[5] not in (0, 1, 2, 4, 8, 16, 24, 32) or not e[6] or e[7] < 6 + 16 * n for e in entries):
+        return None
+    return max(e[6] + e[7] for e in entries)
+
+
+def _icc_size(c: bytes, at: int) -> int | None:
+    size = struct.unpack_from(">I", c, at - 36)[0] if at >= 36 else 0
+    return size if size >= 128 else None
+
+
+def _icc(c: bytes, at: int) -> Found:
+    size = _icc_size(c, at)
+    return (at - 36 + size, [("profile.icc", c[at - 36 : at - 36 + size])]) if size and at - 36 + size <= len(c) else None
+
+
+def _class_size(c: bytes, at: int) -> int | None:
+    """The size of a Java class by its pool, members and attributes."""
+    n, p, i = struct.unpack_from(">H", c, at + 8)[0], at + 10, 1
+    sizes = {3: 5, 4: 5, 5: 9, 6: 9, 7: 3, 8: 3, 9: 5, 10: 5, 11: 5, 12: 5, 15: 4, 16: 3, 17: 5, 18: 5, 19: 3, 20: 3}
+    while i < n:
+        tag = c[p] if p < len(c) else 0
+        if tag == 1:
+            p += 3 + struct.unpack_from(">H", c, p + 1)[0]
+        elif tag in sizes:
+            p += sizes[tag]
+        else:
+            return None
+        i += 2 if tag in (5, 6) else 1
+    p += 8 + 2 * struct.unpack_from(">H", c, p + 6)[0]
+    for level in range(3):
+        count = struct.unpack_from(">H", c, p)[0]
+        p += 2
+        for _ in range(count):
+            if level < 2:
+                attributes = struct.unpack_from(">H", c, p + 6)[0]
+                p += 8
+                for _ in range(attributes):
+                    p += 6 + struct.unpack_from(">I", c, p + 2)[0]
+            else:
+                p += 6 + struct.unpack_from(">I", c, p + 2)[0]
+    return p - at
+
+
 DECODERS: dict[str, Callable[[bytes, int], Found]] = {
     "gzip": _inflating(lambda: zlib.decompressobj(31), "gzip"),
     "bz2": _inflating(bz2.BZ2Decompressor, "bz2"),
@@ -541,18 +612,25 @@ DECODERS: dict[str, Callable[[bytes, int], Found]] = {
     "woff": _sized(lambda c, at: struct.unpack_from(">I", c, at + 8)[0], "font.woff"),
     "elf": _sized(_elf_size, "program.elf"),
     "plf": _plf,
+    "icc": _icc,
+    "java": _sized(_class_size, "program.class"),
+    **IMAGES,
 }
+#: Formats whose signature says too little to be searched for: they are looked for at the start of a content only.
+AT_START = {"ico": _sized(_ico_size, "image.ico"), "jffs2_le": IMAGES["jffs2_le"], "jffs2_be": IMAGES["jffs2_be"], "compress": IMAGES["compress"]}
 
 
 def unpack(content: bytes) -> list[tuple[str, int, int, list[tuple[str, bytes | None]]]]:
     """(format, from, to, files) of what a content holds, signatures at its start first. A place inside a stretch
     that was claimed already is passed over, and a whole copy of the content itself is no contained file."""
-    places = sorted(((at - CORRECTIONS.get(n, 0), n, at) for n, at in offsets(content, tuple(DECODERS)) if at >= CORRECTIONS.get(n, 0)), key=lambda x: (x[0] != 0, x[0], x[1]))
+    places = [(at - CORRECTIONS.get(n, 0), n, at) for n, at in offsets(content, tuple(n for n in DECODERS if n not in AT_START)) if at >= CORRECTIONS.get(n, 0)]
+    places += [(0, n, 0) for n in AT_START if content.startswith(SIGNATURES.get(n, b"\x00\x00\x01\x00"))]
+    places.sort(key=lambda x: (x[0] != 0, x[0], x[1]))
     out, claimed = [], []
     for start, name, at in places:
         if any(lo <= start < hi for lo, hi in claimed):
             continue
-        found = DECODERS[name](content, at)
+        found = (AT_START.get(name) or DECODERS[name])(content, at)
         if found is None:
             continue
         end, files = found
@@ -570,6 +648,42 @@ def byte_swapped(content: bytes) -> bytes:
     return bytes(out) + content[len(even) :]
 
 
+#: What a kernel says when it starts; found only after the bytes of each word are exchanged, the content is swapped.
+_BOOTS = b"Uncompressing Linux"
+
+
+def restored(content: bytes) -> list[tuple[str, bytes]]:
+    """The content with the two bytes of each word exchanged, or without the key it was mixed with, where it shows signs of
+    that: the swapped words of a starting kernel, or padding of zeros that has become a repeated block of 16 bytes, without
+    which a known file begins."""
+    out = []
+    if _BOOTS[:18] not in content and byte_swapped(_BOOTS[:18]) in content:
+        out.append(("byteswap", byte_swapped(content)))
+    if key := padding_key(content):
+        plain = unxored(content, key)
+        if any(n not in AT_START for n, lo, _, _ in unpack(plain) if lo == 0):
+            out.append(("xor", plain))
+    return out
+
+
+def padding_key(content: bytes, *, least: int = 8) -> bytes | None:
+    """The block of 16 bytes that is repeated most in a row at multiples of 16, at least ``least`` times; None if it is of
+    one value only or there is none."""
+    import numpy as np
+
+    n = len(content) // 16
+    if n < least:
+        return None
+    blocks = np.frombuffer(content, np.uint8, n * 16).reshape(n, 16)
+    same = np.concatenate([[False], (blocks[1:] == blocks[:-1]).all(1), [False]])
+    edges = np.flatnonzero(np.diff(same.astype(np.int8)))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2] + 1
+    if not len(lengths) or lengths.max() < least:
+        return None
+    key = blocks[starts[lengths.argmax()]]
+    return None if (key == key[0]).all() else key.tobytes()
+
+
 def unxored(content: bytes, key: bytes) -> bytes:
     import numpy as np
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from strandline.functions.text import line_at
 
 EMAIL = r"([A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 URL = r"((?:https?|ftp)://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~%/?&=#-]*)?)"
-#: Words of :func:`containing` at most; they go to every worker as one automaton.
+#: Words of one automaton, which is sent to every worker and built there once; more words take further passes.
 WORDS = 200_000
 
 
@@ -54,36 +56,47 @@ def calls(df: DataFrame, key: Sequence[str], text: str, names: Sequence[str]) ->
     return found.select(*key, F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("name"), (F.col("at") + 1).alias("linenumber"))
 
 
-def word_list(df: DataFrame, column: str) -> list[str]:
-    """The distinct values of a column as words to search for, counted first."""
-    own = df.select(column).where(F.col(column).isNotNull()).distinct()
-    if (n := own.count()) > WORDS:
-        raise ValueError(f"{n} words; at most {WORDS} are supported")
-    return [r[0] for r in own.collect()]
+_automata: dict = {}
 
 
-def containing(df: DataFrame, key: str, text: str, words: Sequence[str]) -> DataFrame:
-    """(key, word): the words that occur anywhere in a text. All words are searched in one pass over each text."""
-    own = sorted({w for w in words if w})
-    if len(own) > WORDS:
-        raise ValueError(f"{len(own)} words; at most {WORDS} are supported")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _automaton(token: str, words):
+    """The automaton of a broadcast list, built once by each worker process."""
+    if token not in _automata:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for w in own:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
+        _automata.clear()
+        _automata[token] = own = ahocorasick.Automaton()
+        for w in words.value:
+            own.add_word(w, w)
+        own.make_automaton()
+    return _automata[token]
+
+
+def containing(df: DataFrame, key: str, text: str, words: DataFrame, *, most: int = WORDS) -> DataFrame:
+    """(key, word): the words that occur anywhere in a text, of the string column word of ``words``. Empty and null words
+    are none. All words are searched in one pass over the texts, in one per ``most`` words where there are more."""
+    own = words.select("word").where("word is not null and word != ''").distinct()
+    parts = max(1, -(-own.count() // most))
+    part = F.pmod(F.xxhash64("word"), F.lit(parts))
+    texts = df.select(key, text).where(F.col(text).isNotNull())
+    found = [_searched(texts, key, text, sorted(r[0] for r in own.where(part == k).collect())) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _searched(texts: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    sent, token = texts.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(token, sent) if sent.value else None
         for batch in batches:
             keys, found = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hits = {w for _, w in automaton.iter(t)} if t and own else set()
+                hits = {w for _, w in automaton.iter(t)} if t and automaton else set()
                 keys += [k] * len(hits)
                 found += sorted(hits)
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found, pa.string())], [key, "word"])
 
-    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(search, f"`{key}` {dict(df.dtypes)[key]}, word string")
+    return texts.select(key, text).mapInArrow(search, f"`{key}` {dict(texts.dtypes)[key]}, word string")
 
 
 def first_places(text: Column, word: str) -> Column:

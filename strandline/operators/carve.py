@@ -53,7 +53,7 @@ def unpacked(files: DataFrame) -> DataFrame:
         for name, lo, hi, inner in got:
             for child, data in inner:
                 yield key, name, lo, hi, f"{path}/{name}-{lo}/{child}", data
-        for name, data in B.decoded_text(own):
+        for name, data in (*B.decoded_text(own), *B.restored(own)):
             yield key, name, 0, len(own), f"{path}/{name}-0/{name}", data
         for name, at in B.offsets(own, B.FOUND_ONLY):
             start = at - B.CORRECTIONS.get(name, 0)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import fixed
 from strandline.functions import text as X
+from strandline.functions.formats import SIGNATURES
 from strandline.functions.keys import checksum_text
 from strandline.operators import attribute as A
 from strandline.operators import audit as U
@@ -203,12 +205,33 @@ def license_markers(spark: SparkSession, d: str) -> DataFrame:
     return U.marked(B.strings(spark, d).select("line").distinct(), ["line"], "line", {"contributors": ("contributors", "©"), "usage": ("usage:",), "assertion": ("assertion",)})
 
 
+def _with_marker(spark: SparkSession, d: str, markers: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Texts in which, by the document's number, one of the fixed markers was put between its halves."""
+    words = F.array(*[F.lit(w) for ws in markers.values() for w in ws])
+    docs = table(spark, d, "documents").where("text is not null")
+    half = F.floor(F.length("text") / 2).cast("int")
+    word = F.element_at(words, (F.pmod("doc_id", F.size(words)) + 1).cast("int"))
+    return docs.select("doc_id", F.concat(F.substring("text", F.lit(1), half), F.lit(" "), word, F.lit(" "), F.substring("text", half + 1, F.length("text"))).alias("t"))
+
+
+def _finds(markers: dict[str, tuple[str, ...]]):
+    return lambda spark, d: U.marked(_with_marker(spark, d, markers), ["doc_id"], "t", markers)
+
+
+def cert_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that the CERT rules advise against, in the heads with such a call added at the end."""
+    names = (*fixed.ENV33_C, *fixed.MSC24_C)
+    added = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(F.length("head"), F.lit(len(names))) + 1).cast("int"))
+    heads = table(spark, d, "source_head").where("head is not null").select("checksum", F.concat("head", F.lit("\n"), added, F.lit(" (x);")).alias("t"))
+    return U.calls(heads, ["checksum"], "t", names)
+
+
 def code_smells(spark: SparkSession, d: str) -> DataFrame:
     return U.calls(table(spark, d, "source_head"), ["checksum"], "head", SMELLS)
 
 
 def login_search(spark: SparkSession, d: str) -> DataFrame:
-    found = U.containing(table(spark, d, "documents"), "doc_id", "text", U.word_list(table(spark, d, "canonical_package"), "package"))
+    found = U.containing(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "canonical_package").select(F.col("package").alias("word")))
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -247,9 +270,9 @@ def marker_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """For each file of a package the nearest other one of the same name, by the lines of the heads."""
+    """For each file the nearest other one of the same name, by the lines of the heads."""
     h = table(spark, d, "source_head").where("head is not null").select(checksum_text(F.col("checksum")).alias("key"), F.split("head", "\n").alias("lines"))
-    own = _files(spark, d).select(F.col("ck").alias("key"), F.concat_ws("/", "package", "filename").alias("name")).where("filename is not null and package is not null").distinct().join(h, "key")
+    own = _files(spark, d).select(F.col("ck").alias("key"), F.col("filename").alias("name")).where("filename is not null and ck is not null").distinct().join(h, "key")
     return V.nearest_by_name(own, own)
 
 
@@ -330,6 +353,15 @@ _SYMBOLS = """s AS (SELECT ck, name AS symbol, coalesce(language, '-') AS kind,
   und AS (SELECT DISTINCT file, symbol, kind, weak FROM s JOIN inside USING (ck)), decl AS (SELECT DISTINCT file, package AS library FROM inside JOIN pf USING (ck) WHERE package IS NOT NULL),
   res AS (SELECT u.file, u.symbol, u.kind, o.library, CASE WHEN u.weak THEN 3 ELSE 1 END + o.weak::INT AS pass FROM und u JOIN decl d USING (file) JOIN own o ON o.library = d.library AND o.symbol = u.symbol AND o.kind = u.kind
     QUALIFY row_number() OVER (PARTITION BY u.file, u.symbol, u.kind ORDER BY pass, o.library) = 1)"""
+def _marked_sql(markers: dict[str, tuple[str, ...]]) -> str:
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    words = ", ".join(quoted(w) for ws in markers.values() for w in ws)
+    pairs = ", ".join(f"({quoted(m)}, {quoted(w)})" for m, ws in markers.items() for w in ws)
+    return f"""WITH w AS (SELECT [{words}] AS ws), t AS (SELECT doc_id, substr(text, 1, length(text) // 2) || ' ' || ws[(doc_id % len(ws))::INT + 1] || ' ' || substr(text, length(text) // 2 + 1) AS t
+        FROM documents, w WHERE text IS NOT NULL) SELECT DISTINCT doc_id, marker FROM t JOIN (VALUES {pairs}) AS m(marker, word) ON contains(t, word)"""
+
+
+_CERT = (*fixed.ENV33_C, *fixed.MSC24_C)
 _MARK = " UNION ALL ".join("SELECT DISTINCT {k}, '%s' AS marker FROM {t} WHERE %s" % (m, " OR ".join(f"contains({{c}}, '{w}')" for w in ws)) for m, ws in FORGES.items())
 
 SQL = {
@@ -380,6 +412,12 @@ SQL = {
     "forge_markers": _MARK.format(k="row_id", t="processed", c="downloadurl"),
     "license_markers": """WITH l AS (SELECT DISTINCT stringidentifier AS line FROM extracted_string) SELECT line, 'contributors' AS marker FROM l WHERE contains(line, 'contributors') OR contains(line, '©')
         UNION ALL SELECT line, 'usage' FROM l WHERE contains(line, 'usage:') UNION ALL SELECT line, 'assertion' FROM l WHERE contains(line, 'assertion')""",
+    "licence_words": _marked_sql(fixed.LICENCE_MARKERS),
+    "forge_words": _marked_sql(fixed.FORGE_MARKERS),
+    "kernel_words": _marked_sql(fixed.KERNEL_MARKERS),
+    "cert_calls": f"""WITH h AS (SELECT checksum, string_split(head || chr(10) || [{", ".join(f"'{n}'" for n in _CERT)}][length(head) % {len(_CERT)} + 1] || ' (x);', chr(10)) AS s FROM source_head WHERE head IS NOT NULL),
+        l AS (SELECT checksum, unnest(s) AS line, generate_subscripts(s, 1) AS linenumber FROM h)
+        SELECT checksum, unnest(regexp_extract_all(line, '\\b({"|".join(_CERT)})\\s*\\(', 1)) AS name, linenumber FROM l""",
     "code_smells": f"""WITH h AS (SELECT checksum, string_split(head, chr(10)) AS s FROM source_head WHERE head IS NOT NULL), l AS (SELECT checksum, unnest(s) AS line, generate_subscripts(s, 1) AS linenumber FROM h)
         SELECT checksum, unnest(regexp_extract_all(line, '\\b({"|".join(SMELLS)})\\s*\\(', 1)) AS name, linenumber FROM l""",
     "login_search": "SELECT c.package AS word, count(*) AS documents FROM documents d JOIN canonical_package c ON contains(d.text, c.package) GROUP BY 1",
@@ -397,6 +435,14 @@ SQL = {
     "library_resolution": """WITH so AS (SELECT package AS library, min(p) AS path FROM (SELECT package, regexp_extract(filename, '^(.+?)[-_]v?(\\d[^/]*?)(?:\\.src\\.rpm|\\.tar\\.[a-z0-9]+|\\.tgz|\\.zip|\\.jar)$', 1) AS p FROM processed WHERE filename IS NOT NULL AND package IS NOT NULL)
         GROUP BY 1 HAVING count(DISTINCT p) = 1), w AS (SELECT package AS library, package AS path, 0 AS k FROM canonical_package UNION ALL SELECT originalname, newname, 1 FROM renames WHERE newname IS NOT NULL UNION ALL SELECT library, path, 2 FROM so)
         SELECT n.library, arg_min(path, (k, path)) AS path, coalesce(['name', 'link', 'soname'][min(k) + 1], 'unresolved') AS way FROM (SELECT DISTINCT package AS library FROM processed WHERE package IS NOT NULL) n LEFT JOIN w USING (library) GROUP BY n.library""",
+    "marker_offsets": " UNION ALL ".join(
+        f"SELECT '{n}' AS marker, sum((length(head) - length(replace(head, '{m.decode()}', ''))) // {len(m)})::BIGINT AS n FROM source_head WHERE contains(head, '{m.decode()}') HAVING n > 0"
+        for n, m in SIGNATURES.items() if m.isascii() and m.decode().isprintable()
+    ),
+    "fuzzy_nearest": with_base(""", h AS (SELECT lower(trim(checksum, ' ')) AS ck, list_distinct(string_split(head, chr(10))) AS lines FROM source_head WHERE head IS NOT NULL),
+        o AS (SELECT DISTINCT pf.ck AS key, filename AS name, lines FROM pf JOIN h USING (ck) WHERE filename IS NOT NULL),
+        m AS (SELECT a.key, b.key AS other, (round(100 - 100 * len(list_intersect(a.lines, b.lines)) / greatest(len(list_distinct(list_concat(a.lines, b.lines))), 1)))::INT AS distance FROM o a JOIN o b USING (name) WHERE a.key <> b.key)
+        SELECT key, arg_min(other, (distance, other)) AS other, min(distance) AS distance FROM m WHERE distance < 60 GROUP BY key"""),
     "file_tags": "SELECT checksum AS key, NOT regexp_matches(head, '[^\\x09-\\x0d\\x20-\\x7e]') AS is_text FROM source_head WHERE head IS NOT NULL AND head <> ''",
     "file_strings": """SELECT checksum AS key, count(*) AS n, sum(length(x))::BIGINT AS chars FROM (SELECT checksum, unnest(regexp_extract_all(head, '[\\x20-\\x7e\\t]{5,}')) AS x FROM source_head) GROUP BY 1""",
     "symbol_resolution": with_base(f", {_SYMBOLS} SELECT * FROM res"),
@@ -414,7 +460,7 @@ QUERIES = {
     for f in (
         duplicate_groups, dedup_first, tag_gate, prune_tags, file_hashes, file_crc32, path_parts, path_without_root, path_ancestors, range_exclusion, range_next, carve_gaps, clone_containment, package_hash_counts,
         third_party, known_files, not_in_kb, hash_xref, tree_comparison, file2package, rename_merge, duplicate_archives, new_contents, version_order, first_version, archive_names, copyright_lines, shell_invocations,
-        urls, url_hosts, emails, forge_markers, license_markers, code_smells, login_search, lcp_provider, equivalent_modules, dependency_closure, edge_types, library_resolution, symbol_resolution, library_use,
+        urls, url_hosts, emails, forge_markers, license_markers, cert_calls, code_smells, login_search, lcp_provider, equivalent_modules, dependency_closure, edge_types, library_resolution, symbol_resolution, library_use,
         symbol_types, symbol_types_narrowed, match_statistics, score_share_others, version_squash, json_report, file_tags, file_strings, marker_offsets, fuzzy_nearest,
     )
-}
+} | {"licence_words": _finds(fixed.LICENCE_MARKERS), "forge_words": _finds(fixed.FORGE_MARKERS), "kernel_words": _finds(fixed.KERNEL_MARKERS)}

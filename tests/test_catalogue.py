@@ -11,9 +11,9 @@ def test_query_agrees_with_sql(name, same_as_sql):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
-def test_query_without_sql_runs(name, spark, small):
+def test_query_without_sql_has_rows(name, spark, small):
     frame = catalogue.QUERIES[name](spark, small)
-    assert frame.columns and frame.count() >= 0
+    assert frame.columns and not frame.isEmpty()
 
 
 def test_entry(spark):

@@ -285,7 +285,9 @@ def test_audits(spark):
     assert one(audit.copyright_line(lit("Copyright 2020"))) and one(audit.copyright_line(lit("(C) me")))
     df = spark.createDataFrame([(1, "x = gets(buf);\nsystem (cmd); gets(a)"), (2, None), (3, "")], "k int, t string")
     assert rows(audit.calls(df, ["k"], "t", ("gets", "system"))) == [(1, "gets", 1), (1, "gets", 2), (1, "system", 2)]
-    assert rows(audit.containing(df, "k", "t", ["buf", "cm", "", "zz"])) == [(1, "buf"), (1, "cm")]
+    words = spark.createDataFrame([("buf",), ("cm",), ("",), ("zz",), (None,), ("cm",)], "word string")
+    assert rows(audit.containing(df, "k", "t", words)) == [(1, "buf"), (1, "cm")] == rows(audit.containing(df, "k", "t", words, most=1))
+    assert audit.containing(df, "k", "t", words.limit(0)).count() == 0
     assert rows(audit.marked(df, ["k"], "t", {"m": ("gets", "puts"), "n": ("nothing",)})) == [(1, "m")]
     entries = spark.createDataFrame([("e", 5), ("z", 0)], "entry string, crc long")
     assert rows(audit.crc_matches(entries, spark.createDataFrame([(5, "k"), (0, "n")], "crc long, key string"))) == [(5, "e", "k")]
