@@ -630,7 +630,10 @@ def unpack(content: bytes) -> list[tuple[str, int, int, list[tuple[str, bytes |
     for start, name, at in places:
         if any(lo <= start < hi for lo, hi in claimed):
             continue
-        found = (AT_START.get(name) or DECODERS[name])(content, at)
+        try:
+            found = (AT_START.get(name) or DECODERS[name])(content, at)
+        except (struct.error, IndexError, ValueError, OverflowError):
+            found = None  # the content ends within a structure, or a field of it makes no sense
         if found is None:
             continue
         end, files = found
