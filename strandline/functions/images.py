@@ -29,7 +29,7 @@ def _guarded(decode: Callable[[bytes, int], tuple[int, list]]) -> Callable[[byte
     def safe(c: bytes, at: int) -> Found:
         try:
             end, files = decode(c, at)
-        except (_Bad, struct.error, zlib.error, lzma.LZMAError, IndexError, UnicodeDecodeError, EOFError):
+        except (ValueError, struct.error, zlib.error, lzma.LZMAError, IndexError, EOFError, OverflowError):
             return None
         return (end, files) if end <= len(c) else None
 
