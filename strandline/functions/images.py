@@ -369,7 +369,7 @@ def jffs2(c: bytes, at: int):
 @_guarded
 def cabinet(c: bytes, at: int):
     size, files_at, folders, n, flags = (struct.unpack_from(f, c, at + p)[0] for f, p in (("<I", 8), ("<I", 16), ("<H", 26), ("<H", 28), ("<H", 30)))
-    if flags:
+    if flags or size < 36 or not n:
         raise _Bad
     image, plain = _cut(c, at, size), []
     for k in range(folders):

@@ -25,14 +25,16 @@ def identifier_cache(strings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def line_facts(cache: DataFrame) -> DataFrame:
-    """Per (language, line): packages, filenames and pairs of them, counted in steps that combine before a shuffle.
-
-    The cache is distinct, so each pair is one row; a line is reduced to its packages and to its file names by two
-    groupings whose results add up, so that no set of a common line is ever held."""
-    pairs = cache.groupBy("language", "line").agg(F.count(F.lit(1)).alias("n_pairs"))
-    packages = cache.groupBy("language", "line", "package").agg(F.lit(1).alias("one")).groupBy("language", "line").agg(F.count(F.lit(1)).alias("n_packages"), F.min("package").alias("package"))
-    names = cache.groupBy("language", "line", "filename").agg(F.lit(1).alias("one")).groupBy("language", "line").agg(F.count(F.lit(1)).alias("n_filenames"))
-    return pairs.join(packages, ["language", "line"]).join(names, ["language", "line"])
+    """Per (language, line): packages, filenames and pairs of them, and the least package.
+
+    The cache is distinct, so each pair is one row. All counts come from one reading of it: the distinct counts are made of
+    rows per (line, package) and (line, filename), which combine before the shuffle, so that no set of a common line is
+    ever held."""
+    one = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("package").alias("x")), F.struct(F.lit(1).alias("k"), F.col("filename").alias("x"))))
+    each = cache.select("language", "line", one.alias("o")).groupBy("language", "line", "o.k", "o.x").agg(F.count(F.lit(1)).alias("n"))
+    package = F.col("k") == 0
+    n = lambda c: F.count_if(c)
+    return each.groupBy("language", "line").agg(F.sum(F.when(package, F.col("n"))).alias("n_pairs"), n(package).alias("n_packages"), F.min(F.when(package, F.col("x"))).alias("package"), n(~package).alias("n_filenames"))
 
 
 def line_score(line: Column, n_packages: Column, n_filenames: Column) -> Column:

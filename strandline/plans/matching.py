@@ -135,7 +135,7 @@ def jar_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
-    unique = _classified(spark, d).where("class = 'unique'")
+    unique = M.classify(M.lines_of(B.identifiers(spark, d)), cut(_cache(spark, d))).where("class = 'unique'")
     return A.versions_of(unique, B.strings(spark, d), B.files(spark, d))
 
 

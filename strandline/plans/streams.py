@@ -24,7 +24,7 @@ def _ran(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFr
 
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     rows = _events(spark, d).select(F.concat_ws("/", "user_id", "event_type").alias("key"), "ts", "event_id")
-    return _ran(spark, streaming.first_seen(rows, "key", "ts", "3650 days")).select("key")
+    return _ran(spark, streaming.first_seen(rows, "key", "ts", "1 day")).select("key")
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
