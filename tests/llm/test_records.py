@@ -181,16 +181,27 @@ CODE = "static int {0}_buffer(struct queue *p, int {1})\n{{\n\tif (!{1}->cache)\
 
 
 def test_limits_are_of_all_held_out_heads(spark):
-    from strandline.llm import handwritten
-
     text = lambda i, k: "\n".join(f"int {w}_{k}{i} = read_{w}(value);" for w in ("alpha", "buffer", "cursor", "record"))
     heads = [(f"{x}{i}", x, text(i, k)) for x, k, n in (("c", "of", 400), ("ruby", "in", 200)) for i in range(n)]
-    df = spark.createDataFrame(heads, "key string, language string, head string")
+    df = spark.createDataFrame(heads, "key string, language string, head string").withColumn("tool", F.lit(False))
     some, every = handwritten.fit(df, most=30), handwritten.fit(df)
     # The density does not depend on the models.
     assert set(some.poor) == {"", "c", "ruby"} and some.poor == pytest.approx(every.poor)
 
 
+def test_comments_of_tools_are_learned(spark):
+    """Wordings that are in no list are known from files with a tool's name; the same words elsewhere are not."""
+    rng = random.Random(12)
+    names = [f"{a}_{b}" for a in ("load", "store", "merge", "split") for b in ("node", "table", "entry", "sector")]
+    code = lambda: "\n".join(f"int {rng.choice(names)}(int {rng.choice(names)});" for _ in range(6))
+    own = lambda: f"/* {rng.choice(['checks', 'keeps', 'moves'])} the {rng.choice(names)} of a queue */"
+    tool = lambda: f"/* zapfolk emitted this listing at {rng.randrange(99)} for {rng.choice(names)} */"
+    heads = [(f"t{i}", "c", f"{tool()}\n{code()}", i < 60) for i in range(80)] + [(f"h{i}", "c", f"{own()}\n{code()}", False) for i in range(300)]
+    limits = handwritten.fit(spark.createDataFrame(heads, "key string, language string, head string, tool boolean"))
+    assert [limits.speaks_of_a_tool(h, "c") for h in (f"{tool()}\nint x;", f"{own()}\nint x;", "int x;")] == [True, False, False]
+    assert handwritten.follows_template([f"field_{i}_value" for i in range(12)]) and not handwritten.follows_template(names)
+
+
 def test_files_of_other_hands(spark):
     rng = random.Random(9)
     verbs, nouns = ["load", "store", "merge", "split", "probe"], ["node", "table", "entry", "volume", "sector"]
