@@ -159,6 +159,17 @@ def library_edges(declared: DataFrame, resolved: DataFrame, undefined: DataFrame
     return use.unionByName(all_known.select("file", F.lit(None).cast("string").alias("library"), F.lit("knowninterface").alias("kind")))
 
 
+def undeclared_edges(undefined: DataFrame, resolved: DataFrame, defined: DataFrame) -> DataFrame:
+    """(file, library, symbols): libraries that a file does not declare but that alone define symbols it leaves open.
+
+    ``undefined`` has file, symbol and kind, ``resolved`` the symbols that declared libraries give, ``defined`` library,
+    symbol and kind. A symbol that several libraries define says nothing."""
+    key = ["symbol", "kind"]
+    only = defined.select("library", *key).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("library").alias("library")).where("n = 1").drop("n")
+    open_ = undefined.select("file", *key).distinct().join(resolved.select("file", *key), ["file", *key], "left_anti")
+    return open_.join(only, key).where("file != library").groupBy("file", "library").agg(F.count(F.lit(1)).alias("symbols"))
+
+
 def plugin_uses(plugins: DataFrame, undefined: DataFrame, defined: DataFrame) -> DataFrame:
     """(plugin, host, symbols): how many symbols that a plugin leaves undefined each host program defines.
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import configparser
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.files import gate
+
 PHASES = ("prerun", "unpack", "leaf", "aggregate", "postrun")
 
 
@@ -43,6 +45,22 @@ def read_registry(text: str) -> list[Scan]:
     return sorted(out, key=lambda s: (PHASES.index(s.phase), -s.priority, s.name))
 
 
+def dispatch(files: DataFrame, scans: Sequence[Scan], methods: Mapping[str, Callable[[DataFrame, Mapping[str, str]], DataFrame]], phase: str) -> DataFrame:
+    """(scan, priority, key, name, value): what the scans of a phase say of the files (key, path, tags, ...).
+
+    Each scan gets the files that its tags let through (``gate``) and, if it names formats, that bear one of their tags, and
+    its settings; its method, by name, gives (key, name, value) as strings. Scans without a method here are an error."""
+    own = [s for s in scans if s.phase == phase]
+    if missing := sorted({s.method for s in own} - set(methods)):
+        raise ValueError(f"no such methods: {missing}")
+    found = files.limit(0).select(F.lit("").alias("scan"), F.lit(0).alias("priority"), F.col("key").cast("string").alias("key"), F.lit("").alias("name"), F.lit("").alias("value"))
+    for s in own:
+        let = files.where(gate(F.col("tags"), (*s.only, *s.magic), s.never))
+        rows = methods[s.method](let, s.settings).select(F.lit(s.name).alias("scan"), F.lit(s.priority).alias("priority"), *[F.col(c).cast("string").alias(c) for c in ("key", "name", "value")])
+        found = found.unionByName(rows)
+    return found
+
+
 def scannable(files: DataFrame, *, least: int = 1, ignored: Sequence[str] = ()) -> DataFrame:
     """Files (path, size) that are not too small and have none of the ignored endings."""
     ends = [F.endswith("path", F.lit(x)) for x in ignored]

@@ -143,6 +143,59 @@ def file_gates(spark: SparkSession, d: str) -> DataFrame:
     return S.scannable(own, least=12, ignored=(".h", ".py")).select("row_id")
 
 
+REGISTRY = """
+[sizes]
+type = leaf
+method = size
+priority = 5
+noscan = test
+
+[notices]
+type = leaf
+method = words
+scanonly = header
+envvars = WORD=static
+
+[nothing]
+type = leaf
+method = size
+enabled = no
+"""
+
+
+def dispatched_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The leaf scans of a registry, run on the heads by the tags of their files."""
+    f = table(spark, d, "processed_file").where("checksum is not null and pathname is not null").groupBy(checksum_text(F.col("checksum")).alias("key")).agg(F.min("pathname").alias("path"))
+    h = table(spark, d, "source_head").where("head is not null").select(checksum_text(F.col("checksum")).alias("key"), "head")
+    tags = F.array_compact(F.array(F.when(F.contains("path", F.lit("/tests/")), F.lit("test")), F.when(F.endswith("path", F.lit(".h")), F.lit("header"))))
+    methods = {
+        "size": lambda df, settings: df.select("key", F.lit("length").alias("name"), F.length("head").alias("value")),
+        "words": lambda df, settings: df.where(F.contains("head", F.lit(settings["WORD"]))).select("key", F.lit("word").alias("name"), F.lit(settings["WORD"]).alias("value")),
+    }
+    return S.dispatch(f.join(h, "key").withColumn("tags", tags), S.read_registry(REGISTRY), methods, "leaf")
+
+
+def read_scan_results(spark: SparkSession, d: str) -> DataFrame:
+    """Records of files as an earlier run wrote them, read again."""
+    own = table(spark, d, "processed_file").where("pathname is not null and checksum is not null")
+    record = (F.struct(F.col("filename").alias("name"), F.col("pathname").alias("path"), F.array(F.lit("text")).alias("tags"), F.col("row_id").alias("size"), F.col("checksum")))
+    path = scratch(spark, "results")
+    listed = own.select(record.alias("record"), (F.col("row_id") % 8).alias("k")).groupBy("k").agg(F.to_json(F.collect_list("record")).alias("value"))
+    listed.write.partitionBy("k").text(path)
+    return R.scan_results(spark, path).select("name", "path", "size", F.element_at("tags", 1).alias("tag"))
+
+
+def undeclared_libraries(spark: SparkSession, d: str) -> DataFrame:
+    """Packages that alone define what the files of an RPM use, beside those of its own files."""
+    f = P.files(spark, d).select("key", "package").dropna().distinct()
+    s = P.functions(spark, d).where("name is not null and key is not null").select("key", F.col("name").alias("symbol"), F.coalesce("language", F.lit("-")).alias("kind"))
+    defined = s.join(f, "key").select(F.col("package").alias("library"), "symbol", "kind").distinct()
+    inside = P.contents(spark, d).select("container", "key").dropna().distinct()
+    undefined = s.join(inside, "key").select(F.col("container").alias("file"), "symbol", "kind").distinct()
+    held = undefined.where("length(symbol) % 2 = 0")
+    return G.undeclared_edges(undefined, held, defined)
+
+
 def trailers(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("offset"))
     return FL.next_trailer(e.where("offset % 2 = 0"), e.where("offset % 5 = 0"))
@@ -242,7 +295,7 @@ def crc_hits(spark: SparkSession, d: str) -> DataFrame:
 
 _OWN = (
     read_package_list, read_download_urls, read_hash_manifest, read_rewrites, read_distribution, read_file_lists, read_vulnerabilities, read_binaries, written_reports, text_functions, path_functions, source_functions, diff_lines, file_gates, trailers, chunked_contents,
-    tag_statistics, link_targets, name_matches, license_attribution, copyright_attribution, option_differences, plugin_hosts, edge_counts, password_hits, crc_hits,
+    dispatched_scans, read_scan_results, undeclared_libraries, tag_statistics, link_targets, name_matches, license_attribution, copyright_attribution, option_differences, plugin_hosts, edge_counts, password_hits, crc_hits,
 )
 QUERIES = {f.__name__: f for f in _OWN}
 
@@ -274,6 +327,15 @@ SQL = {
         SELECT row_id, s || ',' || s || '_gpl' AS symbols, s || ':int,named:bool' AS parameters, regexp_replace(filename, '\\s', '_', 'g') || ',p.patch' AS sources, '2.' || v AS kernel, '1.' || v || '0' AS busybox, true AS private, true AS certificate FROM o""",
     "diff_lines": "SELECT checksum AS key, 'x.c' AS path, length(head) - length(replace(head, chr(10), '')) + 1 AS n, length(replace(head, chr(10), '')) AS chars FROM source_head WHERE head IS NOT NULL",
     "file_gates": "SELECT row_id FROM processed_file WHERE length(pathname) >= 12 AND NOT (ends_with(pathname, '.h') OR ends_with(pathname, '.py'))",
+    "dispatched_scans": """WITH f AS (SELECT lower(trim(checksum, ' ')) AS key, min(pathname) AS path FROM processed_file WHERE checksum IS NOT NULL AND pathname IS NOT NULL GROUP BY 1),
+        x AS (SELECT key, path, head FROM f JOIN source_head ON lower(trim(checksum, ' ')) = key WHERE head IS NOT NULL)
+        SELECT 'sizes' AS scan, 5 AS priority, key, 'length' AS name, length(head)::VARCHAR AS value FROM x WHERE NOT contains(path, '/tests/')
+        UNION ALL SELECT 'notices', 0, key, 'word', 'static' FROM x WHERE ends_with(path, '.h') AND contains(head, 'static')""",
+    "read_scan_results": "SELECT filename AS name, pathname AS path, row_id AS size, 'text' AS tag FROM processed_file WHERE pathname IS NOT NULL AND checksum IS NOT NULL",
+    "undeclared_libraries": with_base(""", s AS (SELECT ck, name AS symbol, coalesce(language, '-') AS kind FROM ef WHERE name IS NOT NULL AND ck IS NOT NULL),
+        o AS (SELECT symbol, kind, min(package) AS library FROM s JOIN pf USING (ck) WHERE package IS NOT NULL GROUP BY ALL HAVING count(DISTINCT package) = 1),
+        u AS (SELECT DISTINCT container AS file, symbol, kind FROM s JOIN rc USING (ck) WHERE container IS NOT NULL AND length(symbol) % 2 = 1)
+        SELECT file, library, count(*) AS symbols FROM u JOIN o USING (symbol, kind) WHERE file <> library GROUP BY ALL"""),
     "trailers": """WITH t AS (SELECT user_id AS key, event_id AS o FROM events WHERE event_id % 5 = 0)
         SELECT user_id AS key, event_id AS header, min(o) AS trailer FROM events JOIN t ON t.key = user_id AND o >= event_id WHERE event_id % 2 = 0 GROUP BY user_id, event_id""",
     "chunked_contents": """WITH o AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL AND text <> ''), s AS (SELECT doc_id, n, unnest(range(0, n, 512)) AS i FROM o)

@@ -448,6 +448,13 @@ SQL = {
     "symbol_resolution": with_base(f", {_SYMBOLS} SELECT * FROM res"),
     "library_use": with_base(f", {_SYMBOLS} SELECT file, library, count(symbol) AS symbols, count(symbol) > 0 AS used FROM decl LEFT JOIN res USING (file, library) GROUP BY ALL"),
     "symbol_types": "SELECT substr(functionname, 1, 4) AS version, functionname AS symbol, CASE WHEN count(DISTINCT language) = 1 THEN min(language) WHEN count(DISTINCT language) > 1 THEN 'undecided' ELSE 'unknown' END AS type FROM extracted_function WHERE functionname IS NOT NULL GROUP BY ALL",
+    "symbol_types_narrowed": with_base(""", s AS (SELECT ck, name AS symbol, language AS type FROM ef WHERE name IS NOT NULL), f AS (SELECT DISTINCT ck, package, version FROM pf WHERE package IS NOT NULL AND version IS NOT NULL AND ck IS NOT NULL),
+        w AS (SELECT DISTINCT package, version, symbol FROM s JOIN f USING (ck)),
+        h AS (SELECT package, version, symbol, CASE WHEN min(type) = max(type) THEN min(type) ELSE 'undecided' END AS t FROM s JOIN f USING (ck) WHERE type IS NOT NULL GROUP BY ALL),
+        e AS (SELECT symbol, CASE WHEN min(type) = max(type) THEN min(type) ELSE 'undecided' END AS t FROM s WHERE type IS NOT NULL AND ck IS NOT NULL GROUP BY ALL)
+        SELECT w.package, w.version, w.symbol, coalesce(h.t, CASE WHEN e.t IS NULL THEN 'unknown' WHEN e.t <> 'undecided' THEN e.t ELSE coalesce(b.t, 'undecided') END) AS type
+        FROM w LEFT JOIN h ON h.package = w.package AND h.version = w.version AND h.symbol = w.symbol LEFT JOIN e ON e.symbol = w.symbol
+        LEFT JOIN h b ON b.package = w.package AND b.symbol = w.symbol AND contains(w.version, '-') AND b.version = split_part(w.version, '-', 1)"""),
     "match_statistics": with_base("SELECT class, sum(n)::BIGINT AS n FROM classified GROUP BY class"),
     "score_share_others": "WITH k AS (" + matching.SQL["string_match_rank"] + """), b AS (SELECT *, coalesce(sum(share) OVER (PARTITION BY container ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
         SELECT container, CASE WHEN before < 60 AND share >= 2 THEN package ELSE 'others' END AS package, round(sum(share), 6) AS share FROM b GROUP BY ALL""",

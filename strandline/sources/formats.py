@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,17 +17,42 @@ SCAN_RESULT = (
 )
 
 
-def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, content, key): all files below a path, key being the content's sha256."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+#: Tables of the knowledge base and of results, by name, as schemas for readers, writers and ``CREATE TABLE``.
+SCHEMAS = {
+    "processed": "package string, version string, filename string, origin string, checksum string, downloadurl string, website string",
+    "processed_file": "package string, version string, pathname string, checksum string, filename string, thirdparty boolean",
+    "extracted_string": "stringidentifier string, checksum string, language string, linenumber int",
+    "extracted_function": "checksum string, functionname string, language string, linenumber int",
+    "extracted_name": "checksum string, name string, type string, language string, linenumber int",
+    "licenses": "checksum string, license string, scanner string, version string",
+    "extracted_copyright": "checksum string, copyright string, type string, byteoffset long",
+    "hashconversion": "sha256 string, md5 string, sha1 string, crc32 long",
+    "renames": "originalname string, newname string",
+    "rpm": "rpmname string, checksum string, downloadurl string",
+    "stringscores": "stringidentifier string, packages int, score double",
+    "avgstringscache": "package string, language string, avgstrings double",
+    "results": SCAN_RESULT,
+}
+
+
+def schemas(names: Sequence[str] = tuple(SCHEMAS), *, using: str = "parquet", prefix: str = "") -> list[str]:
+    """Statements that create the named tables where they are not there."""
+    return [f"CREATE TABLE IF NOT EXISTS {prefix}{n} ({SCHEMAS[n]}) USING {using}" for n in names]
+
+
+def binary_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, size, content, key): all files below a path, key being the content's sha256; with ``glob`` only files whose
+    names match it are opened."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    raw = (raw.option("pathGlobFilter", glob) if glob else raw).load(path)
     return raw.select("path", F.col("length").alias("size"), "content", F.sha2("content", 256).alias("key"))
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a source tree in a known language, with their language and text."""
-    from strandline.functions.text import language_of
+    from strandline.functions.text import EXTENSIONS, language_of
 
-    own = binary_files(spark, path).withColumn("language", language_of(F.col("path")))
+    own = binary_files(spark, path, "*.{" + ",".join(EXTENSIONS) + "}").withColumn("language", language_of(F.col("path")))
     return own.where("language is not null").withColumn("text", F.decode("content", "utf-8"))
 
 

@@ -18,14 +18,12 @@ def append_facts(df: DataFrame, path: str, by: Sequence[str] = ("language",)) ->
 def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Append only rows whose key is not there yet; doing it twice adds nothing."""
     spark = df.sparkSession
-    try:
-        present = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         df.dropDuplicates(list(keys)).write.parquet(path)
         return
-    new_rows(df, present, keys).write.mode("append").parquet(path)
+    # Only the key columns of what is there are read.
+    new_rows(df, spark.read.parquet(path), keys).write.mode("append").parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:

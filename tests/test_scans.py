@@ -77,3 +77,17 @@ def test_edges_and_markers(spark):
     texts = spark.createDataFrame([(1, "see http://www.gnu.org/licenses/gpl.txt"), (2, "on github.com"), (3, None)], "k int, t string")
     assert rows(audit.marked(texts, ["k"], "t", fixed.LICENCE_MARKERS)) == [(1, "GNU"), (1, "GPL")]
     assert rows(audit.marked(texts, ["k"], "t", fixed.FORGE_MARKERS)) == [(2, "github.com")]
+
+
+def test_dispatch_by_registry(spark):
+    files = spark.createDataFrame([("a", "x.h", ["header"]), ("b", "y.c", ["test"]), ("c", "z", None)], "key string, path string, tags array<string>")
+    listed = [scans.Scan("one", "leaf", "path", 3, never=("test",)), scans.Scan("two", "leaf", "path", 1, only=("test", "header"), settings={"K": "v"}), scans.Scan("early", "prerun", "none")]
+    methods = {"path": lambda df, settings: df.select("key", F.lit(settings.get("K", "-")).alias("name"), F.col("path").alias("value"))}
+    got = rows(scans.dispatch(files, listed, methods, "leaf"), "scan", "key", "name", "value")
+    assert got == [("one", "a", "-", "x.h"), ("one", "c", "-", "z"), ("two", "a", "v", "x.h"), ("two", "b", "v", "y.c")]
+    try:
+        scans.dispatch(files, listed, methods, "prerun")
+    except ValueError as e:
+        assert "none" in str(e)
+    else:
+        raise AssertionError

@@ -55,6 +55,27 @@ def test_vulnerabilities(spark, tmp_path):
     assert rows(S.vulnerable_files(cves, files)) == [("CVE-1", "k", "p-1/net/a.c")]
 
 
+def test_schemas_make_tables(spark):
+    from strandline.sources import formats as S
+
+    for statement in S.schemas():
+        spark.sql(statement.replace("EXISTS ", "EXISTS made_"))
+    assert set(spark.table("made_licenses").columns) == {"checksum", "license", "scanner", "version"}
+    for name in S.SCHEMAS:
+        spark.sql(f"DROP TABLE made_{name}")
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    """What comes later than the watermark allows is dropped; duplicates within it are told across batches."""
+    at = lambda day: dt.datetime(2024, 1, day)
+    for k, rows_ in enumerate(([("a", at(1)), ("b", at(9))], [("b", at(9)), ("c", at(1)), ("d", at(9))], [("e", at(20))])):
+        spark.createDataFrame(rows_, "k string, ts timestamp").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("k string, ts timestamp").parquet(f"{tmp_path}/in")
+        streaming.run_once(streaming.first_seen(stream, "k", "ts", "1 day"), f"{tmp_path}/seen", f"{tmp_path}/state")
+    # c came eight days after its time, when only one day was allowed.
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/seen").collect()) == ["a", "b", "d", "e"]
+
+
 def test_streams(spark, tmp_path):
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     data = [("a", at(0), 1.0), ("a", at(0.2), 2.0), ("b", at(0.3), 4.0), ("a", at(5), 1.0)]
