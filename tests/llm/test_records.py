@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -189,6 +190,43 @@ def test_limits_are_of_all_held_out_heads(spark):
     assert set(some.poor) == {"", "c", "ruby"} and some.poor == pytest.approx(every.poor)
 
 
+def test_models_and_limits_leave_out_one_head_at_a_time(spark):
+    """The limits are those of every clean head under the counts of all others of its language; no head is kept from either."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdehinorst_") for _ in range(rng.randrange(3, 9)))
+    text = lambda: "\n".join(f"{word()} = {word()}({word()});" for _ in range(6)) + "\n"
+    heads = [(f"{x}{i}", x, text(), False) for x, n in (("c", 30), ("java", 24), ("go", 5), ("", 3)) for i in range(n)]
+    limits = handwritten.fit(spark.createDataFrame(heads, "key string, language string, head string, tool boolean"))
+    grams = [handwritten._grams(names_of(h, x)[0])[0] for _, x, h, _ in heads]
+    bins = handwritten._SIZE**3
+    total = lambda own: sum(np.bincount(g, minlength=bins) for (_, x, _, _), g in zip(heads, grams) if own in ("", x))
+    # Languages of few heads are measured by the model of all, in which those without a language count once.
+    cost = [handwritten.NameModel(total(x if x in ("c", "java") else "") - np.bincount(g, minlength=bins)).cost(g).mean() for (_, x, _, _), g in zip(heads, grams)]
+    want = {own: np.mean(e) + handwritten.DEVIATIONS * max(np.std(e), 0.02) for own in ("", "c", "java") if (e := [c for (_, x, _, _), c in zip(heads, cost) if own in ("", x)])}
+    assert limits.mangled == pytest.approx(want) and set(limits.poor) == set(want) == set(limits.models)
+    assert all(limits.models[x].total == total(x).sum() for x in want)
+
+
+def test_no_head_of_a_large_table_is_left_out(spark):
+    """Three heads among 40,000 are enough for the words of a tool, 25 for the limits of a language."""
+    text = F.concat(F.lit("/* keeps the queue */\nint queue_"), F.col("id"), F.lit(" = read_queue(value);\nint cursor = next_record(queue, 0, value);\nreturn cursor;\n"))
+    many = spark.range(40_000).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") < 25, "ruby").otherwise("c").alias("language"), text.alias("head"), F.lit(False).alias("tool"))
+    said = "/* zapfolk emitted this listing */\nint x;\n"
+    few = spark.createDataFrame([(f"t{i}", "c", f"{said}int y{i};\n", True) for i in range(3)], many.schema)
+    limits = handwritten.fit(many.unionByName(few))
+    assert limits.speaks_of_a_tool(said, "c") and not limits.speaks_of_a_tool("/* keeps the queue */\nint x;\n", "c")
+    assert set(limits.mangled) == {"", "c", "ruby"}
+
+
+def test_words_of_no_tool_speak_for_none(spark):
+    """A rare comment in copies is no tool's, though tools have so few comments that its lack among them says little."""
+    rare = "/* " + " ".join(f"{a}{b}" for a in ("quill", "ember", "thorn", "basin", "ledge") for b in ("ward", "fold", "mere", "gate", "stone")) + " */"
+    heads = [(f"r{i}", "c", f"{rare}\nint copy_{i};\n", False) for i in range(4)] + [(f"h{i}", "c", f"/* keeps the queue */\nint h{i};\n", False) for i in range(600)]
+    heads += [(f"t{i}", "c", f"/* zapfolk emitted this */\nint t{i};\n", True) for i in range(10)]
+    limits = handwritten.fit(spark.createDataFrame(heads, "key string, language string, head string, tool boolean"))
+    assert limits.speaks_of_a_tool("/* zapfolk emitted this */", "c") and not limits.speaks_of_a_tool(rare, "c")
+
+
 def test_comments_of_tools_are_learned(spark):
     """Wordings that are in no list are known from files with a tool's name; the same words elsewhere are not."""
     rng = random.Random(12)
