@@ -148,7 +148,7 @@ def version_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_prune(spark: SparkSession, d: str) -> DataFrame:
-    return A.prune_versions(cut(_versions(spark, d)))
+    return A.matched_versions(B.strings(spark, d), B.files(spark, d), B.contents(spark, d), cutoff=M.CUTOFF)
 
 
 def function_version_counts(spark: SparkSession, d: str) -> DataFrame:

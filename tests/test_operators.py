@@ -148,6 +148,30 @@ def test_prune_keeps_maximal_versions(spark):
     assert rows(attribute.prune_versions(df), "version") == [("2",), ("3",), ("4",)]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matched_versions_are_the_pruned_ones(spark, seed):
+    """Against sets; more versions than a word has bits, one line in two languages, files of no package or no name."""
+    import random
+
+    r = random.Random(seed)
+    strings = {(f"k{r.randrange(40)}", r.choice("CJ"), f"line {r.randrange(25)}") for _ in range(120)} | {("k0", "C", "tiny"), ("k0", None, "of no language")}
+    held = {(f"k{r.randrange(36)}", "p" if r.random() < 0.9 else "q", f"{r.randrange(90)}", r.choice(["a.c", "b.c", None])) for _ in range(500)} | {("k1", None, "1", "a.c"), (None, "p", "1", "a.c")}
+    inside = {(f"x{r.randrange(12)}", f"k{r.randrange(40)}") for _ in range(60)} | {(None, "k0"), ("x0", None)}
+    owners, lines = {}, {}
+    for k, language, line in strings:
+        owners.setdefault((language, line), set()).update(p for key, p, _, name in held if key == k and p and name)
+    for c, k in inside:
+        for key, language, line in strings:
+            if c and key == k and language and len(line) >= 5 and len(own := owners[language, line]) == 1:
+                of = {v for k2, *same in strings if same == [language, line] for k3, p, v, _ in held if k3 == k2 and p in own}
+                for v in of:
+                    lines.setdefault((c, *own), {}).setdefault(v, set()).add(line)
+    kept = sorted((*key, v) for key, sets in lines.items() for v, own in sets.items() if not any(own < other for other in sets.values()))
+    df = lambda data, schema: spark.createDataFrame(sorted(data, key=str), schema)
+    strings, files, contents = df(strings, "key string, language string, line string"), df(held, "key string, package string, version string, filename string"), df(inside, "container string, key string")
+    assert rows(attribute.matched_versions(strings, files, contents, cutoff=5)) == kept and len(kept) > 20
+
+
 def test_squash_and_agreement(spark):
     df = spark.createDataFrame([(1, "n", "GPLv2"), (1, "f", "GPL_v2"), (2, "n", "MIT"), (3, "f", "BSD")], "key int, scanner string, verdict string")
     assert rows(attribute.squash(df, {"GPLv2": "GPL_v2", "MIT": "MIT style"}, "n", "f")) == [(1, "squashed", "GPL_v2"), (2, "n", "MIT"), (3, "f", "BSD")]
