@@ -30,7 +30,7 @@ def line_facts(cache: DataFrame) -> DataFrame:
     The cache is distinct, so each pair is one row. All counts come from one reading of it: the distinct counts are made of
     rows per (line, package) and (line, filename), which combine before the shuffle, so that no set of a common line is
     ever held."""
-    one = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("package").alias("x")), F.struct(F.lit(1).alias("k"), F.col("filename").alias("x"))))
+    one = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("package").alias("x")), F.struct(F.lit(1).alias("k"), F.col("filename").cast("string").alias("x"))))
     each = cache.select("language", "line", one.alias("o")).groupBy("language", "line", "o.k", "o.x").agg(F.count(F.lit(1)).alias("n"))
     package = F.col("k") == 0
     n = lambda c: F.count_if(c)

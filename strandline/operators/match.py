@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.knowledge import ALPHA, line_facts
-from strandline.session import cut
+from strandline.operators.knowledge import ALPHA, identifier_cache, line_facts
+from strandline.session import cut, drop
 
 CUTOFF, SCORE_CUTOFF, GAIN_CUTOFF = 5, 1e-20, 1.0
 
@@ -28,11 +29,11 @@ def classify(lines: DataFrame, cache: DataFrame) -> DataFrame:
 
     A line of one package is unique; one whose penalised score is used up is not assigned; one whose every file name
     belongs to a single package is no clone; all others are cloned."""
-    return _classed(lines.join(line_facts(cache), ["language", "line"], "left"))
+    return _classed(lines.join(line_facts(cache), ["language", "line"], "left"), F.length("line"))
 
 
-def _classed(out: DataFrame) -> DataFrame:
-    shared = F.length("line") / F.pow(F.lit(ALPHA), F.col("n_filenames") - 1)
+def _classed(out: DataFrame, length: Column) -> DataFrame:
+    shared = length / F.pow(F.lit(ALPHA), F.col("n_filenames") - 1)
     kind = (
         F.when(F.col("ignored"), "ignored")
         .when(F.col("n_packages").isNull(), "unmatched")
@@ -41,7 +42,7 @@ def _classed(out: DataFrame) -> DataFrame:
         .when(F.col("n_pairs") == F.col("n_filenames"), "notclone")
         .otherwise("cloned")
     )
-    score = F.when(F.col("class") == "unique", F.length("line").cast("double")).when(F.col("class").isin("notclone", "cloned"), shared)
+    score = F.when(F.col("class") == "unique", length.cast("double")).when(F.col("class").isin("notclone", "cloned"), shared)
     return out.withColumn("class", kind).withColumn("score", score)
 
 
@@ -98,7 +99,7 @@ def greedy_cover(classified: DataFrame, cache: DataFrame, scores: DataFrame, ave
         container = frame["container"].iloc[0]
         return pd.DataFrame({"container": [container] * len(out), "package": list(out), "same_file_score": list(out.values())}).astype({"container": object, "package": object})
 
-    return rows.groupBy("container").applyInPandas(cover, "container string, package string, same_file_score double")
+    return rows.groupBy("container").applyInPandas(cover, f"container {rows.schema['container'].dataType.simpleString()}, package string, same_file_score double")
 
 
 def rank(scores: DataFrame) -> DataFrame:
@@ -109,55 +110,132 @@ def rank(scores: DataFrame) -> DataFrame:
     return scores.select("container", "package", "score", share.alias("share"), F.row_number().over(by.orderBy(F.desc("score"), "package")).alias("rank"))
 
 
+class Numbered(NamedTuple):
+    """The knowledge base and the lines of containers with numbers in place of texts.
+
+    lines has id, language and line (the text), cache language, line (the id), package and filename, facts id, length, n_packages,
+    n_filenames, n_pairs, package and only (the package of a unique line), own the known lines in containers:
+    container, language, ordinal, id, unique. strings has key, language, line (the id) and ordinal, files key, package, version and
+    filename; names has container and name, or is None where containers have their own names."""
+
+    lines: DataFrame
+    cache: DataFrame
+    facts: DataFrame
+    own: DataFrame
+    strings: DataFrame | None = None
+    files: DataFrame | None = None
+    names: DataFrame | None = None
+
+
+def _facts(cache: DataFrame, lines: DataFrame) -> DataFrame:
+    facts = line_facts(cache).select(F.col("line").alias("id"), "n_pairs", "n_packages", "package", "n_filenames")
+    return cut(facts.join(lines.select("id", F.length("line").alias("length")), "id").withColumn("only", F.when(F.col("n_packages") == 1, F.col("package"))))
+
+
+def _known(facts: DataFrame, cutoff: int) -> DataFrame:
+    return facts.where(F.col("length") >= cutoff).select("id", F.col("only").isNotNull().alias("unique"))
+
+
+def numbered(identifiers: DataFrame, cache: DataFrame, *, cutoff: int = 0) -> Numbered:
+    """From (container, language, ordinal, line) and a cache; lines shorter than ``cutoff`` and unknown ones take no part."""
+    lines = cut(cache.select("language", "line").distinct().withColumn("id", F.monotonically_increasing_id()))
+    cache = cut(cache.join(lines, ["language", "line"]).select("language", F.col("id").alias("line"), "package", "filename"))
+    facts = _facts(cache, lines)
+    own = identifiers.join(lines, ["language", "line"]).join(_known(facts, cutoff), "id").select("container", "language", "ordinal", "id", "unique")
+    return Numbered(lines, cache, facts, own)
+
+
+def numbered_tables(strings: DataFrame, files: DataFrame, contents: DataFrame, *, cutoff: int = 0) -> Numbered:
+    """From strings (key, language, line, ordinal), files (key, package, version, filename) and contents (container, key).
+
+    Lines get their numbers and facts once for each string of a file, before the files meet the containers that hold them."""
+    inside = contents.select("container", "key").dropna().distinct()
+    keys = cut(files.select("key").dropna().union(inside.select("key")).distinct().withColumn("file", F.monotonically_increasing_id()))
+    names = cut(inside.select(F.col("container").alias("name")).distinct().withColumn("container", F.monotonically_increasing_id()))
+    inside = cut(inside.withColumnRenamed("container", "name").join(keys, "key").join(names, "name").select("container", F.col("file").alias("key")))
+    filenames = cut(files.select("filename").dropna().distinct().withColumn("number", F.monotonically_increasing_id()))
+    held = cut(files.join(keys, "key").join(filenames, "filename", "left").select(F.col("file").alias("key"), "package", "version", F.col("number").alias("filename")))
+    texts = cut(strings.dropna(subset=["key", "language", "line"]).join(keys, "key").select("file", "language", "line", "ordinal"))
+    drop(keys, filenames)
+    lines = cut(texts.select("language", "line").distinct().withColumn("id", F.monotonically_increasing_id()))
+    rows = cut(texts.join(lines, ["language", "line"]).select(F.col("file").alias("key"), "language", F.col("id").alias("line"), "ordinal"))
+    drop(texts)
+    cache = cut(identifier_cache(rows, held))
+    facts = _facts(cache, lines)
+    known = cut(rows.withColumnRenamed("line", "id").join(_known(facts, cutoff), "id").select("key", "language", "ordinal", "id", "unique"))
+    own = known.join(inside, "key").select("container", "language", "ordinal", "id", "unique")
+    return Numbered(lines, cache, facts, own, rows, held, names)
+
+
+def _named(n: Numbered, df: DataFrame) -> DataFrame:
+    """``df`` with the names of its containers."""
+    return df if n.names is None else df.join(n.names, "container").withColumn("container", F.col("name")).drop("name")
+
+
+def _around(own: DataFrame, *, after: bool) -> DataFrame:
+    """The shared lines of ``own`` with the unique lines before (l1, at the ordinal segment) and ``after`` them (l2)."""
+    by = Window.partitionBy("container", "language")
+    hit = F.last(F.when(F.col("unique"), F.struct(F.col("ordinal").alias("o"), F.col("id").alias("l"))), ignorenulls=True)
+    last, then = (hit.over(by.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)) for o in (F.asc("ordinal"), F.desc("ordinal")))
+    own = own.withColumn("last", last)
+    own = (own.withColumn("next", then) if after else own).where("not unique")
+    rest = [F.col("last.o").alias("segment"), F.col("next.l").alias("l2")] if after else []
+    return own.select("container", "language", "ordinal", "id", F.col("last.l").alias("l1"), *rest)
+
+
+def _met(pairs: DataFrame, cache: DataFrame) -> DataFrame:
+    """Those of the distinct ``pairs`` (id, held, l) where the package held has line id under a file name that line l has.
+
+    The unique line l is spread to its file names, as a shared line has many more of them."""
+    spread = pairs.join(cache.select(F.col("line").alias("l"), "filename"), "l").select("id", "held", "l", "filename").distinct()
+    here = cache.select(F.col("line").alias("id"), F.col("package").alias("held"), "filename")
+    return spread.join(here, ["id", "held", "filename"], "left_semi").select("id", "held", "l").distinct()
+
+
 def source_order(identifiers: DataFrame, cache: DataFrame) -> DataFrame:
     """(container, language, ordinal, line, package): shared lines assigned to the last unique match before them.
 
     ``identifiers`` has container, language, ordinal and line. A line of several packages is assigned to the package
     of the last unique line before it in the container when it shares that package and one of its file names."""
-    facts = line_facts(cache).where("n_packages = 1").select("language", "line", F.col("package").alias("only"))
-    own = identifiers.join(facts, ["language", "line"], "left")
-    before = Window.partitionBy("container", "language").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    hit = F.when(F.col("only").isNotNull(), F.struct(F.col("only").alias("p"), F.col("line").alias("l")))
-    own = own.withColumn("last", F.last(hit, ignorenulls=True).over(before)).where("only is null and last is not null")
-    names = cache.select("language", F.col("line").alias("unique_line"), F.col("filename"))
-    at = own.select("container", "language", "ordinal", "line", F.col("last.p").alias("package"), F.col("last.l").alias("unique_line"))
-    met = at.join(cache, ["language", "line", "package"]).join(names, ["language", "unique_line", "filename"])
-    return met.select("container", "language", "ordinal", "line", "package").distinct()
-
-
-def _numbered(identifiers: DataFrame, cache: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Facts, cache and known identifiers with the number of a line (id) in place of its text, which stays in the facts."""
-    facts = cut(line_facts(cache).withColumn("id", F.monotonically_increasing_id()).withColumn("only", F.when(F.col("n_packages") == 1, F.col("package"))))
-    number = facts.select("language", "line", "id")
-    own = identifiers.where(F.length("line") >= max(cutoff, 1)).join(number, ["language", "line"]).select("container", "language", "ordinal", "id")
-    return facts, cut(cache.join(number, ["language", "line"]).select("id", "package", "filename")), cut(own)
-
-
-def _placed(facts: DataFrame, names: DataFrame, own: DataFrame) -> DataFrame:
+    return source_order_of(numbered(identifiers, cache))
+
+
+def source_order_of(n: Numbered) -> DataFrame:
+    """As ``source_order``. Whether two lines have a file name in common is found once for each pair of them."""
+    rows = cut(_around(n.own, after=False).where("l1 is not null").distinct())
+    only = n.facts.where("only is not null").select(F.col("id").alias("l"), F.col("only").alias("held"))
+    pairs = rows.select("id", F.col("l1").alias("l")).distinct().join(only, "l")
+    met = cut(_met(pairs, n.cache).select("id", F.col("l").alias("l1"), F.col("held").alias("package")))
+    placed = cut(rows.join(met, ["id", "l1"]).drop("l1"))
+    drop(rows, met)
+    out = placed.join(n.lines.select("id", "line"), "id").select("container", "language", "ordinal", "line", "package")
+    return _named(n, out)
+
+
+def _placed(n: Numbered) -> DataFrame:
     """The shared lines of ``own`` with the rule that places them (way: forward, backward or null), the package they
     are placed in, the package they waited for (held) and the ordinal of the unique line before them (segment).
 
     Whether a line has a file name in common with a unique line is found once for each such pair of lines."""
-    by = Window.partitionBy("container", "language")
-    hit = F.last(F.when(F.col("only").isNotNull(), F.struct(F.col("ordinal").alias("o"), F.col("only").alias("p"), F.col("id").alias("l"))), ignorenulls=True)
-    before, after = (hit.over(by.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)) for o in (F.asc("ordinal"), F.desc("ordinal")))
-    own = own.join(facts.select("id", "only"), "id").withColumn("last", before).withColumn("next", after).where("only is null")
-    own = cut(own.select("container", "language", "ordinal", "id", F.col("last.o").alias("segment"), F.col("last.p").alias("held"), F.col("last.l").alias("l1"), F.col("next.p").alias("then"), F.col("next.l").alias("l2")))
-    cases = own.select("id", "held", "l1", "l2").dropna(subset=["held"]).distinct()
-    pairs = cases.select("id", "held", F.explode(F.array("l1", "l2")).alias("l")).dropna().distinct()
-    here = names.withColumnRenamed("package", "held")
-    met = pairs.join(here, ["id", "held"]).join(names.select(F.col("id").alias("l"), "filename"), ["l", "filename"], "left_semi").select("id", "held", "l").distinct()
-    met = cut(met)
+    own = cut(_around(n.own, after=True))
+    only = lambda l, c: n.facts.where("only is not null").select(F.col("id").alias(l), F.col("only").alias(c))  # noqa: E731, E741
+    cases = own.select("id", "l1", "l2").where("l1 is not null").distinct().join(only("l1", "held"), "l1")
+    cases = cut(cases.join(n.cache.select(F.col("line").alias("id"), F.col("package").alias("held")).distinct(), ["id", "held"], "left_semi"))
+    met = cut(_met(cases.select("id", "held", F.explode(F.array("l1", "l2")).alias("l")).dropna().distinct(), n.cache))
+    known = cases
     for k in (1, 2):
-        cases = cases.join(met.select("id", "held", F.col("l").alias(f"l{k}"), F.lit(1).alias(f"met{k}")), ["id", "held", f"l{k}"], "left")
-    cases = cut(cases.join(here.drop("filename").distinct(), ["id", "held"]))
-    same = (own.held == cases.held) & (own.id == cases.id) & (own.l1 == cases.l1) & own.l2.eqNullSafe(cases.l2)
-    own = own.join(cases, same, "left").select(*[own[c] for c in ("container", "language", "ordinal", "id", "segment", "held", "then")], "met1", "met2", cases.id.isNotNull().alias("waits"))
+        known = known.join(met.select("id", "held", F.col("l").alias(f"l{k}"), F.lit(1).alias(f"met{k}")), ["id", "held", f"l{k}"], "left")
+    known = cut(known.join(only("l2", "then"), "l2", "left"))
+    drop(cases, met)
+    same = (own.id == known.id) & (own.l1 == known.l1) & own.l2.eqNullSafe(known.l2)
+    rows = own.join(known, same, "left").select(*[own[c] for c in ("container", "language", "ordinal", "id", "segment")], "held", "then", "met1", "met2", known.id.isNotNull().alias("waits"))
     waits = F.col("waits") & F.col("met1").isNull()
     run = Window.partitionBy("container", "language", "segment", waits).orderBy(F.desc("ordinal"))
     way = F.when(F.col("met1").isNotNull(), "forward").when(waits & (F.min(F.coalesce("met2", F.lit(0))).over(run) == 1), "backward")
     package = F.when(F.col("way") == "forward", F.col("held")).when(F.col("way") == "backward", F.col("then"))
-    return own.withColumn("way", way).select("container", "language", "ordinal", "id", package.alias("package"), "way", "held", "segment")
+    placed = cut(rows.withColumn("way", way).select("container", "language", "ordinal", "id", package.alias("package"), "way", "held", "segment"))
+    drop(own, known)
+    return placed
 
 
 def direct_matches(identifiers: DataFrame, cache: DataFrame, *, cutoff: int = CUTOFF) -> DataFrame:
@@ -167,9 +245,13 @@ def direct_matches(identifiers: DataFrame, cache: DataFrame, *, cutoff: int = CU
     file names of that line, waits (backward): the next unique line goes back over the waiting lines and takes them for
     its own package as long as they have one of its file names in the package they waited for; the first that has none
     ends the run, and nothing waits any longer. Lines shorter than ``cutoff`` and unknown lines take no part."""
-    facts, names, own = _numbered(identifiers, cache, cutoff)
-    placed = _placed(facts, names, own).where("way is not null")
-    return placed.join(facts.select("id", "line"), "id").select("container", "language", "ordinal", "line", "package", "way")
+    return direct_matches_of(numbered(identifiers, cache, cutoff=max(cutoff, 1)))
+
+
+def direct_matches_of(n: Numbered) -> DataFrame:
+    """As ``direct_matches``; the cutoff is that of ``n``."""
+    placed = _placed(n).where("way is not null").select("container", "language", "ordinal", "id", "package", "way")
+    return _named(n, placed.join(n.lines.select("id", "line"), "id").select("container", "language", "ordinal", "line", "package", "way"))
 
 
 def source_order_scores(identifiers: DataFrame, cache: DataFrame, averages: DataFrame, *, cutoff: int = CUTOFF) -> DataFrame:
@@ -178,26 +260,32 @@ def source_order_scores(identifiers: DataFrame, cache: DataFrame, averages: Data
     Every occurrence of a line counts. Those assigned directly give their score to that package alone; the others
     are no clones or left to the greedy cover, where a line that was taken backwards since its last open occurrence has
     no part under the file names of the package it waited for. Packages with neither a unique nor a same-file score are left out."""
+    return source_order_scores_of(numbered(identifiers, cache, cutoff=max(cutoff, 1)), averages)
+
+
+def source_order_scores_of(n: Numbered, averages: DataFrame) -> DataFrame:
+    """As ``source_order_scores``; the cutoff is that of ``n``."""
     key = ["container", "id"]
-    facts, names, own = _numbered(identifiers, cache, cutoff)
-    placed = cut(_placed(facts, names, own).drop("language", "ordinal"))
+    cache = n.cache.withColumnRenamed("line", "id").drop("language")
+    placed = _placed(n)
     taken = cut(placed.where("way is not null").groupBy(*key, "package").agg(F.count(F.lit(1)).alias("k")))
+    newest = placed.where("way is null or way = 'backward'").groupBy(*key).agg(F.max("segment").alias("segment"))
+    back = cut(placed.where("way = 'backward'").join(newest, [*key, "segment"]).select(*key, "language", F.col("held").alias("package")).distinct())
+    drop(placed)
     left = F.col("n") - F.coalesce("n_direct", F.lit(0))
-    lines = own.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(taken.groupBy(*key).agg(F.sum("k").alias("n_direct")), key, "left").withColumn("n", left).where("n > 0").drop("n_direct")
-    classified = cut(_classed(lines.join(facts.drop("only"), "id").withColumn("ignored", F.lit(False))))
+    lines = n.own.groupBy(*key, "language").agg(F.count(F.lit(1)).alias("n")).join(taken.groupBy(*key).agg(F.sum("k").alias("n_direct")), key, "left").withColumn("n", left).where("n > 0").drop("n_direct")
+    classified = cut(_classed(lines.join(n.facts.drop("only"), "id").withColumn("ignored", F.lit(False)), F.col("length")))
     part = lambda df, u, o, e: df.select("container", "package", *[F.coalesce(x, F.lit(0.0)).alias(c) for x, c in ((u, "u"), (o, "o"), (e, "e"))])
     none, each = F.lit(None).cast("double"), F.col("n") * F.col("score")
     unique = part(classified.where("class = 'unique'"), each, none, none)
-    other = part(classified.where("class = 'notclone'").select("container", "id", "n", "score").join(names, "id"), none, each, none)
-    shared = facts.select("id", (F.length("line") / F.pow(F.lit(ALPHA), F.col("n_filenames") - 1)).alias("shared"))
+    other = part(classified.where("class = 'notclone'").select("container", "id", "n", "score").join(cache, "id"), none, each, none)
+    shared = n.facts.select("id", (F.col("length") / F.pow(F.lit(ALPHA), F.col("n_filenames") - 1)).alias("shared"))
     direct = part(taken.join(shared, "id"), none, none, F.col("k") * F.col("shared"))
     scores = unique.unionByName(other).unionByName(direct).groupBy("container", "package").agg(F.sum("u").alias("unique_score"), F.sum("o").alias("nonunique_score"), F.sum("e").alias("direct_score"))
     scores = cut(scores)
-    newest = placed.where("way is null or way = 'backward'").groupBy(*key).agg(F.max("segment").alias("segment"))
-    gone = placed.where("way = 'backward'").join(newest, [*key, "segment"]).select(*key, F.col("held").alias("package")).distinct()
-    gone = gone.join(names, ["id", "package"]).join(facts.select("id", "language", "line"), "id").select("container", "language", "line", "filename").distinct()
-    cover = greedy_cover(classified, cache, scores, averages, gone=gone)
-    return scores.join(cover, ["container", "package"], "full").fillna(0.0).where("unique_score > 0 or same_file_score > 0")
+    gone = back.join(cache, ["id", "package"]).select("container", "language", F.col("id").alias("line"), "filename").distinct()
+    cover = greedy_cover(classified.withColumnRenamed("id", "line"), n.cache, scores, averages, gone=gone)
+    return _named(n, scores.join(cover, ["container", "package"], "full").fillna(0.0, ["unique_score", "nonunique_score", "direct_score", "same_file_score"]).where("unique_score > 0 or same_file_score > 0"))
 
 
 def first_variant(rows: DataFrame, key: Sequence[str], variants: Sequence[Column], known: DataFrame, column: str) -> DataFrame:

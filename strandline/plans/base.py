@@ -10,7 +10,7 @@ from strandline.sources import table
 
 
 def strings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "extracted_string").select(checksum_key(F.col("checksum")).alias("key"), F.col("stringidentifier").alias("line"), "language", "linenumber")
+    return table(spark, d, "extracted_string").select("row_id", checksum_key(F.col("checksum")).alias("key"), F.col("stringidentifier").alias("line"), "language", "linenumber")
 
 
 def functions(spark: SparkSession, d: str) -> DataFrame:

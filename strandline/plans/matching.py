@@ -84,13 +84,17 @@ def greedy_cover_rank(spark: SparkSession, d: str) -> DataFrame:
     return M.rank(both.select("container", "package", (F.col("unique_score") + F.col("nonunique_score") + F.col("same_file_score")).alias("score")))
 
 
+def _numbered(spark: SparkSession, d: str, cutoff: int) -> M.Numbered:
+    return M.numbered_tables(B.strings(spark, d).withColumnRenamed("row_id", "ordinal"), B.files(spark, d), B.contents(spark, d), cutoff=cutoff)
+
+
 def source_order_matches(spark: SparkSession, d: str) -> DataFrame:
     ids = B.identifiers(spark, d).where("line is not null and language is not null")
     return M.source_order(ids, cut(_cache(spark, d)))
 
 
 def source_order_direct(spark: SparkSession, d: str) -> DataFrame:
-    return M.direct_matches(B.identifiers(spark, d), cut(_cache(spark, d)))
+    return M.direct_matches_of(_numbered(spark, d, M.CUTOFF))
 
 
 def source_order_rank(spark: SparkSession, d: str) -> DataFrame:

@@ -126,6 +126,30 @@ def test_source_order_line_by_line(spark, seed):
             assert [s.unique_score, s.nonunique_score, s.direct_score] == pytest.approx(score.get(s.package, [0.0] * 3))
 
 
+@pytest.fixture(scope="module")
+def in_tables(spark):
+    """The same lines as tables and as texts: (Numbered, identifiers, cache, strings, files)."""
+    import random
+
+    r = random.Random(5)
+    strings = [(f"k{r.randrange(12)}", r.choice("CCJ"), f"line {r.randrange(30):02}", i) for i in range(400)] + [("k0", "C", "", 900), ("k0", None, "line 01", 901), (None, "C", "line 01", 902), ("k1", "C", None, 903), ("k1", "C", "abc", 904)]
+    files = [(f"k{k}", r.choice("pqr"), f"{r.randrange(3)}", r.choice(["a.c", "b.c", "c.c"])) for k in range(12) for _ in range(1 + k % 2)] + [("k3", None, "1", "a.c"), ("k4", "q", None, None), (None, "p", "1", "a.c")]
+    files += [(f"u{i}", r.choice("pqr"), "1", r.choice(["a.c", "b.c", "c.c"])) for i in range(60)]
+    strings += [(f"u{i}", "C", f"line {r.randrange(30):02}", 1000 + i) for i in range(20)] + [(f"u{i}", "C", f"only {i:02}", 2000 + i) for i in range(20, 60)]
+    contents = [(f"x{r.randrange(5)}", f"k{r.randrange(13)}") for _ in range(30)] + [(f"x{i % 5}", f"u{i}") for i in range(60)] + [(None, "k0"), ("x0", None)]
+    r.shuffle(strings)
+    strings = spark.createDataFrame([(*x[:3], i) for i, x in enumerate(strings)], "key string, language string, line string, ordinal long")
+    files, contents = spark.createDataFrame(files, "key string, package string, version string, filename string"), spark.createDataFrame(contents, "container string, key string")
+    ids = strings.join(contents.dropna().distinct(), "key").select("container", "language", "line", "ordinal").where("line is not null and language is not null")
+    return lambda cutoff: match.numbered_tables(strings, files, contents, cutoff=cutoff), ids, K.identifier_cache(strings, files), strings, files
+
+
+def test_direct_matches_of_tables(in_tables):
+    of, ids, kb, *_ = in_tables
+    got = rows(match.direct_matches_of(of(5)), "container", "language", "ordinal", "line", "package", "way")
+    assert got == rows(match.direct_matches(ids, kb), "container", "language", "ordinal", "line", "package", "way") and {"forward", "backward"} == {x[-1] for x in got}
+
+
 def test_score_of_many_files(spark):
     many = spark.createDataFrame([("C", "abcde", f"p{i}", f"f{i}") for i in range(60)] + [("C", "xyz", "p", f"f{i}") for i in range(3)], "language string, line string, package string, filename string")
     assert rows(K.score_table(K.line_facts(many)), "line", "packages", "score") == [("abcde", 60, 0.0), ("xyz", 1, 3.0)]
