@@ -89,8 +89,7 @@ def _numbered(spark: SparkSession, d: str, cutoff: int) -> M.Numbered:
 
 
 def source_order_matches(spark: SparkSession, d: str) -> DataFrame:
-    ids = B.identifiers(spark, d).where("line is not null and language is not null")
-    return M.source_order(ids, cut(_cache(spark, d)))
+    return M.source_order_of(_numbered(spark, d, 0))
 
 
 def source_order_direct(spark: SparkSession, d: str) -> DataFrame:

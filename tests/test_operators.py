@@ -150,6 +150,12 @@ def test_direct_matches_of_tables(in_tables):
     assert got == rows(match.direct_matches(ids, kb), "container", "language", "ordinal", "line", "package", "way") and {"forward", "backward"} == {x[-1] for x in got}
 
 
+def test_source_order_of_tables(in_tables):
+    of, ids, kb, *_ = in_tables
+    got = rows(match.source_order_of(of(0)), "container", "language", "ordinal", "line", "package")
+    assert got == rows(match.source_order(ids, kb), "container", "language", "ordinal", "line", "package") and len(got) > 20
+
+
 def test_score_of_many_files(spark):
     many = spark.createDataFrame([("C", "abcde", f"p{i}", f"f{i}") for i in range(60)] + [("C", "xyz", "p", f"f{i}") for i in range(3)], "language string, line string, package string, filename string")
     assert rows(K.score_table(K.line_facts(many)), "line", "packages", "score") == [("abcde", 60, 0.0), ("xyz", 1, 3.0)]
