@@ -97,7 +97,8 @@ def source_order_direct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_order_rank(spark: SparkSession, d: str) -> DataFrame:
-    scores = M.source_order_scores(B.identifiers(spark, d), cut(_cache(spark, d)), K.average_strings(B.strings(spark, d), B.files(spark, d)))
+    n = _numbered(spark, d, M.CUTOFF)
+    scores = M.source_order_scores_of(n, cut(K.average_strings(n.strings, n.files)))
     total = F.col("unique_score") + F.col("nonunique_score") + F.col("direct_score") + F.col("same_file_score")
     return M.rank(scores.select("container", "package", total.alias("score")))
 

@@ -156,6 +156,16 @@ def test_source_order_of_tables(in_tables):
     assert got == rows(match.source_order(ids, kb), "container", "language", "ordinal", "line", "package") and len(got) > 20
 
 
+def test_source_order_scores_of_tables(in_tables):
+    of, ids, kb, strings, files = in_tables
+    columns = ["container", "package", "unique_score", "nonunique_score", "direct_score", "same_file_score"]
+    n = of(5)
+    got = rows(match.source_order_scores_of(n, K.average_strings(n.strings, n.files)), *columns)
+    want = rows(match.source_order_scores(ids, kb, K.average_strings(strings, files)), *columns)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and len(got) > 5
+    assert [v for x in got for v in x[2:]] == pytest.approx([v for x in want for v in x[2:]])
+
+
 def test_score_of_many_files(spark):
     many = spark.createDataFrame([("C", "abcde", f"p{i}", f"f{i}") for i in range(60)] + [("C", "xyz", "p", f"f{i}") for i in range(3)], "language string, line string, package string, filename string")
     assert rows(K.score_table(K.line_facts(many)), "line", "packages", "score") == [("abcde", 60, 0.0), ("xyz", 1, 3.0)]
